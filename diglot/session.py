@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from diglot.shipping import ship
+
 
 def session(cores: int | str = 8, app: str = "diglot", **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use.
@@ -31,4 +33,5 @@ def session(cores: int | str = 8, app: str = "diglot", **conf: str) -> SparkSess
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, as a Parquet scan that filters and projections reach."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from diglot.shipping import ship
+
 _own: dict[str, str] = {}
 
 
@@ -38,6 +40,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again: its lineage ends at files that outlive executors."""
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
