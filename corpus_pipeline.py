@@ -1,9 +1,60 @@
-"""The corpus pipeline (stages are added as their operators are built)."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
+DataFrame; all but the last return the columns of documents. Between stages the documents are written
+as Parquet and read again, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from diglot.llm import decontaminate, line_dedup, near_dups, packing, quality_rules
+from diglot.llm.registry import public_tokenizer
+from diglot.session import table
+from diglot.storage import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the risk-controlled rules reject go."""
+    return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document or line has, within one edit, go; so do documents without another line."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return near_dups.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark item within the edit bound go."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, packed along the Hilbert curve."""
+    return packing.pack_documents(docs, public_tokenizer("word_bpe_49k.json"), end_id=1, length=2048)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("packing", packed),
+]
+
+#: The stages' models, signatures and tokenizers are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, one after another."""
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

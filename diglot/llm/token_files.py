@@ -200,7 +200,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return based.repartition(F.col("shard")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    tasks = max(1, min(shards.count(), 2 * shards.sparkSession.sparkContext.defaultParallelism))
+    return based.repartition(tasks, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -138,3 +138,21 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def unpack(values: np.ndarray, dtype: str = "<u4") -> bytes:
     return np.ascontiguousarray(values, dtype).tobytes()
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges [start, end) of data, wherever they lie."""
+    n = len(data)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, _U)
+        np.cumsum((data.astype(_U) + _U(1)) * _power(_ODD, n), out=total[1:])
+        return mix((total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
+
+
+def span_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges [start, end) of a sequence of 64-bit values."""
+    n = len(values)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, _U)
+        np.cumsum(mix(values + _U(0x51_7C_C1_B7)) * _power(_ODD, n), out=total[1:])
+        return mix((total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts] + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
