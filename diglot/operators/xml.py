@@ -106,10 +106,10 @@ class _Places:
 
     def __init__(self, raw: bytes):
         self.starts: list[tuple[str, dict[str, str], int]] = []
-        self.ends: dict[str, tuple[int, int]] = {}
+        self.ends: dict[str, tuple[int, str]] = {}
         parser = expat.ParserCreate()
         parser.StartElementHandler = lambda name, attrs: self.starts.append((name.rpartition(":")[2], attrs, parser.CurrentByteIndex))
-        parser.EndElementHandler = lambda name: self.ends.setdefault(name.rpartition(":")[2], (parser.CurrentByteIndex, len(name)))
+        parser.EndElementHandler = lambda name: self.ends.setdefault(name.rpartition(":")[2], (parser.CurrentByteIndex, name))
         parser.Parse(raw, True)
 
 
@@ -121,8 +121,8 @@ def _insert(raw: bytes, tag: str, before: dict[str, str] | None, inside: str, li
             return raw[:at] + line.encode() + raw[at:]
     if inside not in places.ends:
         return None
-    at, _ = places.ends[inside]
-    if raw[at : at + 2] == b"</":
+    at, full_name = places.ends[inside]
+    if raw[at:].startswith(b"</" + full_name.encode()):
         return raw[:at] + line.encode() + raw[at:]
     # <manifest/>: open it
     begin = next(a for n, _, a in places.starts if n == inside)
