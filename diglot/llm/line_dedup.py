@@ -62,7 +62,7 @@ def _lengths(n: Column) -> Column:
 def earliest_near(texts: DataFrame) -> DataFrame:
     """id, near (the earliest place within one edit, if before the text's own) for distinct texts: id, norm, place.
 
-    The ids are (key, check) hashes of the texts.
+    The ids are (key, check) hashes of the texts. The distance to the text found is verified.
     """
     n = F.length("norm")
     # a text of n characters takes part with partners of its length, one less and one more
@@ -89,7 +89,11 @@ def earliest_near(texts: DataFrame) -> DataFrame:
     groups = variants.groupBy("variant", "i").agg(F.min("place").alias("first"))
     own = groups.groupBy("variant").agg(F.min(F.when(F.col("i") == 0, F.col("first"))).alias("short_first"), F.min(F.when(F.col("i") > 0, F.col("first"))).alias("full_first"))
     found = variants.join(groups, ["variant", "i"]).join(own, "variant").select("id", "place", F.when(F.col("i") > 0, F.least("first", F.coalesce("short_first", "first"))).otherwise(F.col("full_first")).alias("near"))
-    return found.where("near < place").groupBy("id").agg(F.min("near").alias("near"))
+    first = found.where("near < place").groupBy("id").agg(F.min("near").alias("near"))
+    # both texts of a pair are among those with a possible partner
+    other = near.select(F.col("place").alias("near"), F.col("norm").alias("near_norm"))
+    checked = first.join(near.select("id", "norm"), "id").join(other, "near")
+    return checked.where(F.levenshtein("norm", "near_norm", 1) >= 0).select("id", "near").distinct()
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -98,10 +102,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame
     ident = F.struct("key", "check")
     texts = materialise(lines.select(ident.alias("id"), "norm", _place().alias("place")).groupBy("id").agg(F.min(F.struct("place", "norm")).alias("s"), F.count(F.lit(1)).alias("n")).select("id", "s.place", "s.norm", "n"), "line-texts")
     near = materialise(earliest_near(texts.select("id", "norm", "place")), "line-near")
-    partner = near.join(texts.select("id", "norm"), "id")
-    other = texts.select(F.col("place").alias("near"), F.col("norm").alias("near_norm"))
-    checked = partner.join(other, "near").where(F.levenshtein("norm", "near_norm", 1) >= 0).select("id", "near").distinct()
-    firsts = texts.join(checked, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
+    firsts = texts.select("id", "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
     every = lines.select("doc_id", "line", ident.alias("id"))
     gone = every.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line").alias("of_line"))
