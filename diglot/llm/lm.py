@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from diglot.llm import words
 from diglot.storage import materialise
 
-MU = 200.0
+MU = 30.0
 BLOCK, RANGE = 6 << 20, 16 << 20
 _U = np.uint64
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4C1B2A593)
