@@ -99,7 +99,7 @@ def bound(n: int) -> int:
     return n // 5
 
 
-def pieces(n: int) -> list[tuple[int, int]]:
+def pieces(n: int) -> list:
     """bound(n) + 1 disjoint ranges that cover n words."""
     cuts = np.linspace(0, n, bound(n) + 2).astype(int)
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))

@@ -3,8 +3,8 @@
 Templates are short public notices. The weights of their words come from the corpus: a word that few
 documents have weighs more. Each line of a document, and its whole text when that is short, is a sparse
 TF-IDF vector (words outside the templates have the greatest weight); the best cosine over templates
-names the licence if it is `least` or more. A document whose licence lines are at least half of its words
-is a licence file of its directory. A document without a notice of its own inherits from the nearest
+names the licence if it is `least` or more. A document whose licence lines are four fifths of its words or
+more is a licence file of its directory. A document without a notice of its own inherits from the nearest
 ancestor directory that has a licence file: ancestors are exploded from the path and joined with the
 directories' licences.
 
@@ -38,7 +38,7 @@ TEMPLATES: dict[str, list[str]] = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, as in the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -183,7 +183,7 @@ def ancestors(directory: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, path, license, origin ('notice', 'inherited' or null), from_dir, score and line for every document. docs: doc_id, path, text."""
     own = materialise(notices(docs, templates, least), "notices")
-    files = own.where("license IS NOT NULL AND 2 * licence_words >= words").groupBy(parent(F.col("path")).alias("dir"), "license").agg(F.count(F.lit(1)).alias("n"))
+    files = own.where("license IS NOT NULL AND 5 * licence_words >= 4 * words").groupBy(parent(F.col("path")).alias("dir"), "license").agg(F.count(F.lit(1)).alias("n"))
     by_dir = materialise(files.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "license")).alias("best")).select("dir", F.col("best.license").alias("dir_license")), "directories")
     places = own.where("license IS NULL").select(parent(F.col("path")).alias("at")).distinct()
     above = places.select("at", F.explode(ancestors(F.col("at"))).alias("a")).select("at", "a.dir", "a.depth")
