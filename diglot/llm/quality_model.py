@@ -103,7 +103,7 @@ def word_vectors(texts: DataFrame, parts: int = 6) -> tuple[np.ndarray, np.ndarr
     seen = np.sum([np.frombuffer(r.seen, np.float64) for r in got], 0)
     norm = np.sqrt((total**2).sum(1, keepdims=True))
     share = seen / max(1.0, seen[:CELLS].sum())
-    weight = np.where(seen > 0, 1e-3 / (1e-3 + share), 0.0)
+    weight = np.where(seen > 0, 0.02 / (0.02 + share), 0.0)
     weight[CELLS:] = 1.0
     return (total / np.where(norm == 0, 1, norm)).astype(np.float32), weight.astype(np.float32)
 
@@ -143,7 +143,8 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, epochs: int = 60, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = x[~held].mean(0), x[~held].std(0) + 1e-6
+        # inputs that hardly vary in training must not decide a score
+        self.mean, self.scale = x[~held].mean(0), np.sqrt(x[~held].var(0) + 0.03**2)
         z = (x - self.mean) / self.scale
         p = [rng.standard_normal((x.shape[1], HIDDEN)) / np.sqrt(x.shape[1]), np.zeros(HIDDEN), rng.standard_normal((HIDDEN, 1)) / np.sqrt(HIDDEN), np.zeros(1)]
         m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
