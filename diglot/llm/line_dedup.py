@@ -8,7 +8,8 @@ Everything is a DataFrame operation on the JVM:
 
 1. Equal lines are reduced to one row with the earliest place, summed before the shuffle.
 2. Two texts one edit apart share their first or their last half: two half keys a text, with the
-   length, leave those with a possible partner. Only their texts go on.
+   length, leave those with a possible partner. Only their texts go on: a bit filter of fixed size (8 MB)
+   keeps the others out of the shuffle.
 3. Those emit coarse deletions, the text without one block of its characters, with the block's place.
    Only (text, block) pairs whose key another text shares go on: an edit must lie in that block.
 4. Within these blocks each character's deletion is a variant. Its key is a hash of the block's place
@@ -26,6 +27,8 @@ long lines emit keys only for their blocks that have partners. An empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ from diglot.storage import materialise
 
 LEAST_CHARS = 32
 BLOCKS = 8
+BITS, MAP = 1 << 26, 32768
 
 
 def _place() -> Column:
@@ -59,19 +63,53 @@ def _lengths(n: Column) -> Column:
     return F.array(n, n + 1)
 
 
-def earliest_near(texts: DataFrame) -> DataFrame:
+def half_keys(norm: Column) -> Column:
+    """Hashes of the first and the last half, with the length of the longer of two texts one edit apart.
+
+    A text of n characters is the longer one or as long (m = n), or the shorter one (m = n + 1).
+    """
+    n = F.length(norm)
+    keys = []
+    for m in (n, n + 1):
+        half = F.greatest(F.floor((m - 1) / 2).cast("int"), F.lit(1))
+        keys += [_h(F.lit(0), m, F.left(norm, half)), _h(F.lit(1), m, F.right(norm, half))]
+    return F.array(*keys)
+
+
+def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes that is true for all of keys.key and few others: 2**26 bits, a scalar subquery of 8 MB."""
+    place = keys.select((F.pmod("key", F.lit(BITS)) + 1).alias("p"))
+    maps = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    every = keys.sparkSession.range(1, BITS // MAP + 1, 1, 1).join(F.broadcast(maps), F.col("id") == F.col("b"), "left")
+    whole = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(b""))))), lambda x: x["col2"])).scalar()
+
+    def test(key: Column) -> Column:
+        p = F.pmod(key, F.lit(BITS))
+        byte = F.substring(F.element_at(whole, (F.floor(p / MAP) + 1).cast("int")), (F.floor(p % MAP / 8) + 1).cast("int"), F.lit(1))
+        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (p % 8).cast("int")) == 1, F.lit(False))
+
+    return test
+
+
+def possible(lines: DataFrame, idents: DataFrame) -> DataFrame:
+    """id, place, norm of the distinct lines that share a half key with another: all that can be one edit apart.
+
+    A bit filter keeps the texts of other lines out of the shuffle.
+    """
+    halves = idents.select("key", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
+    some = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "line-keys")
+    texts = lines.where(in_filter(some)(F.col("key"))).join(some, "key", "left_semi")
+    first = texts.groupBy("key", "check").agg(F.min(F.struct(_place().alias("place"), "norm")).alias("s"))
+    return materialise(first.select(F.struct("key", "check").alias("id"), "s.place", "s.norm"), "line-halves")
+
+
+def earliest_near(near: DataFrame) -> DataFrame:
     """id, near (the earliest place within one edit, if before the text's own) for distinct texts: id, norm, place.
 
     The ids are (key, check) hashes of the texts. The distance to the text found is verified.
     """
     n = F.length("norm")
-    # a text of n characters takes part with partners of its length, one less and one more
-    half = texts.select("id", n.alias("n"), "norm").select("id", F.explode(_lengths(F.col("n"))).alias("m"), "n", "norm")
-    halves = half.select("id", "m", F.explode(F.array(F.struct(F.lit(0).alias("side"), _h(F.lit(0), F.col("m"), F.expr("left(norm, greatest((m - 1) div 2, 1))")).alias("half")), F.struct(F.lit(1).alias("side"), _h(F.lit(1), F.col("m"), F.expr("right(norm, greatest((m - 1) div 2, 1))")).alias("half")))).alias("h")).select("id", "h.half")
-    shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("half")
-    some = halves.join(shared, "half", "left_semi").select("id").distinct()
-    near = materialise(texts.join(some, "id", "left_semi"), "line-halves")
-
     # coarse deletions: m is the longer length of the pair; a text of m - 1 characters lacks one in the block
     at = near.select("id", "norm", n.alias("n")).select("id", "norm", "n", F.explode(_lengths(F.col("n"))).alias("m"))
     sized = at.withColumn("size", _scale(F.col("m")))
@@ -97,12 +135,13 @@ def earliest_near(texts: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for distinct lines."""
+    """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
     lines = lines_of(docs, least_chars)
     ident = F.struct("key", "check")
-    texts = materialise(lines.select(ident.alias("id"), "norm", _place().alias("place")).groupBy("id").agg(F.min(F.struct("place", "norm")).alias("s"), F.count(F.lit(1)).alias("n")).select("id", "s.place", "s.norm", "n"), "line-texts")
-    near = materialise(earliest_near(texts.select("id", "norm", "place")), "line-near")
-    firsts = texts.select("id", "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
+    rows = lines.select("key", "check", _place().alias("place"), half_keys(F.col("norm")).alias("halves"))
+    texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "line-ids")
+    near = materialise(earliest_near(possible(lines, texts)), "line-near")
+    firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
     every = lines.select("doc_id", "line", ident.alias("id"))
     gone = every.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line").alias("of_line"))
