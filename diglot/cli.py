@@ -17,6 +17,8 @@ def main(args_given: Sequence[str] | None = None) -> int:
     parser.add_argument("--only", metavar="NAMES", help="files to translate, with commas", default="")
     parser.add_argument("--retranslate", metavar="NAMES", help="files to translate again", default="")
     parser.add_argument("--test", type=int, metavar="N", help="translate the first N blocks only")
+    parser.add_argument("--context", metavar="N", type=int, default=0, help="give each batch the N pairs before it; files are then translated in order")
+    parser.add_argument("--map", help="folder for the title mapping, with --titles-only")
     for flag in ("bilingual-only", "titles-only", "echo", "debug"):
         parser.add_argument(f"--{flag}", action="store_true")
     args = parser.parse_args(args_given)
@@ -32,9 +34,9 @@ def main(args_given: Sequence[str] | None = None) -> int:
         spark = session()
         terms = load_glossary(spark, args.glossary) if args.glossary else None
         if args.titles_only:
-            epub.save(book.with_titles(epub.members(spark, args.source), translator, terms), args.out)
+            epub.save(book.with_titles(epub.members(spark, args.source), translator, terms, args.map), args.out)
         else:
-            book.run(spark, args.source, args.out, translator, terms, args.target, args.bilingual_only or args.test is not None, only=args.only, again=args.retranslate, most_blocks=args.test)
+            book.run(spark, args.source, args.out, translator, terms, args.target, args.bilingual_only or args.test is not None, only=args.only, again=args.retranslate, most_blocks=args.test, context=args.context)
     except Exception as e:
         if args.debug:
             raise

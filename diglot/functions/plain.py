@@ -126,6 +126,26 @@ def surplus(texts: list[str], cells: Iterable[bool]) -> list[int]:
     return out
 
 
+_ITEM = re.compile(r"(?:[-+*•]\s+)?(?P<em>\*\*?|__)?(?:第\s*)?(?P<n>[0-9]{1,3})\s*段?\s*(?:[、．.)）：]|:(?=\s|$))(?P<close>\*\*?|__)?\s*(?P<rest>.*)$")
+
+
+Items = dict[int, str]
+
+
+def reply_items(raw: str | None, most: int | None = None) -> Items:
+    """The items of a numbered reply; see `functions.reply.items`."""
+    last, found = None, {}
+    for line in filter(None, map(str.strip, (raw or "").splitlines())):
+        m = _ITEM.match(line)
+        n = int(m["n"]) if m else None
+        if n is not None and (last is None or n > last) and (most is None or n <= most):
+            rest = m["rest"] if m["close"] is None or m["close"] == m["em"] else m["close"] + m["rest"]
+            found[last := n] = [rest.strip()]
+        elif last is not None:
+            found[last].append(line)
+    return {k: " ".join(v).strip().strip('"“”') for k, v in found.items()}
+
+
 def source_only(text: str) -> bool:
     """English, or mostly English with some Chinese."""
     cjk, letters = counts(text)

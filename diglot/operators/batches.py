@@ -9,6 +9,9 @@ from diglot.functions import paths
 from diglot.functions import text as tx
 
 ITEMS, TOKENS, SHORT_ITEMS, SHORT_TOKENS, CONTEXT = 12, 1600, 8, 600, 2
+CONTEXT_HEAD = "【前文】仅供参考，请勿重译："
+ASK = "下列共 {} 段英文，请译为简体中文，格式如下：\n1. 译文\n2. 译文\n每段一条，按编号输出，不加说明。\n\n"
+ASK_ONE = "请译为简体中文，仅给出译文：\n"
 REMINDER = "【注意格式】一行一条，以「编号. 」开头；请勿使用其他标记。\n\n"
 
 
@@ -58,18 +61,19 @@ def with_context(pairs: DataFrame, file: str, order: str, source: str, target: s
 
 def context_text(pairs: Column) -> Column:
     lines = F.transform(pairs, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". EN: "), p["en"], F.lit("\n   ZH: "), p["zh"]))
-    return F.when(F.size(pairs) == 0, "").otherwise(F.concat(F.lit("【前文】仅供参考，请勿重译：\n"), F.array_join(lines, "\n"), F.lit("\n\n")))
+    return F.when(F.size(pairs) == 0, "").otherwise(F.concat(F.lit(CONTEXT_HEAD + "\n"), F.array_join(lines, "\n"), F.lit("\n\n")))
 
 
 def prompt(prefix: Column, items: Column) -> Column:
     """The request for a batch of (protected) items."""
     numbered = F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    ask = F.concat(F.lit("下列共 "), F.size(items).cast("string"), F.lit(" 段英文，请译为简体中文，格式如下：\n1. 译文\n2. 译文\n每段一条，按编号输出，不加说明。\n\n"))
+    head, tail = ASK.split("{}")
+    ask = F.concat(F.lit(head), F.size(items).cast("string"), F.lit(tail))
     return F.concat(prefix, ask, numbered)
 
 
 def single_prompt(prefix: Column, item: Column) -> Column:
-    return F.concat(prefix, F.lit("请译为简体中文，仅给出译文：\n"), item)
+    return F.concat(prefix, F.lit(ASK_ONE), item)
 
 
 def slices(order: Column, size: int = 40) -> Column:

@@ -130,14 +130,16 @@ def step(members: DataFrame, updates: DataFrame, name: str) -> DataFrame:
     return materialise(epub.spliced(members, updates.select("book", "path", "content")), name)
 
 
-def with_titles(members: DataFrame, translator: Translator, terms: DataFrame | None) -> DataFrame:
-    """members with English titles translated, book by book in one pass of calls."""
+def with_titles(members: DataFrame, translator: Translator, terms: DataFrame | None, map_path: str | None = None) -> DataFrame:
+    """members with English titles translated in one pass of calls; the mapping may be kept as JSON."""
     texts = epub.texts(members)
     pages = texts.where(F.lower("path").rlike(r"\.(xhtml|html?|ncx|xml)$"))
     found = materialise(titles.collect(pages, "book", "path", "ord", "text"), "titles")
     every = found.groupBy("title").agg(F.min("ord").alias("ord"))
     done, _ = tr.translate(tr.title_requests(every).select("file", "n", "text", "visible"), translator, terms)
     mapping = materialise(done.where("translation <> text").select(F.col("text").alias("title"), "translation"), "title-map")
+    if map_path:
+        mapping.write.mode("append").json(map_path)
     fixed = titles.applied(pages.select("book", "path", "text"), "path", "text", mapping).where("replaced > 0")
     return step(members, fixed.select("book", "path", F.encode(tx.declare_utf8("text"), "UTF-8").alias("content")), "with-titles")
 
@@ -149,7 +151,7 @@ def finished(members: DataFrame, translator: Translator, terms: DataFrame | None
     return step(members, contents(epub.texts(members)), "contents")
 
 
-def translated(spark: SparkSession, source: str, translator: Translator, terms: DataFrame | None = None, target: str | None = None, only: str = "", again: str = "", most_blocks: int | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def translated(spark: SparkSession, source: str, translator: Translator, terms: DataFrame | None = None, target: str | None = None, only: str = "", again: str = "", most_blocks: int | None = None, cache: DataFrame | None = None, context: int = 0) -> tuple[DataFrame, DataFrame]:
     """Members of the bilingual books of a source (a book, or a folder), and new cache entries."""
     src = materialise(epub.members(spark, source), "source")
     have = src if target is None else materialise(epub.members(spark, target), "target")
@@ -159,7 +161,11 @@ def translated(spark: SparkSession, source: str, translator: Translator, terms:
     blocks = blocks_of(texts, chosen)
     if most_blocks is not None:
         blocks = jobs.first_blocks(blocks, most_blocks, [], ["file", "n"])
-    done, fresh = tr.translate(materialise(blocks, "blocks"), translator, terms, cache)
+    blocks = materialise(blocks, "blocks")
+    if context:
+        done, fresh = tr.translate_in_order(blocks, translator, terms, context), spark.createDataFrame([], "key string, response string")
+    else:
+        done, fresh = tr.translate(blocks, translator, terms, cache)
     made = materialise(inserted(texts, chosen, materialise(done, "translations")), "inserted")
     order = jobs.order_of(src.where(paths.is_html("path")), spine(texts), have.where(paths.is_html("path")), chosen)
     new = step(have, made, "inserted-members")
@@ -174,7 +180,8 @@ def run(spark: SparkSession, source: str, out: str, translator: Translator, term
     results = {"bilingual": both, "cache": fresh}
     if not bilingual_only:
         alone = step(both, changed(epub.texts(both), ht.without_source, "removed"), "target-only")
-        results["chinese"] = finished(alone, translator, terms)
+        alone = finished(alone, translator, terms)
+        results["chinese"] = alone.withColumn("book", epub.target_name(F.col("book")))
     for name in ("bilingual", "chinese"):
         if name in results:
             small = results[name].groupBy("book").agg(F.sum(F.length("content")).alias("n")).where(F.col("n") < LEAST_BYTES)

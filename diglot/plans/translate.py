@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diglot.functions import glossary as gl
-from diglot.functions import reply
+from diglot.functions import plain, reply
 from diglot.functions import text as tx
 from diglot.operators import batches as bt
 from diglot.plans.client import Translator
@@ -94,6 +94,106 @@ def translate(blocks: DataFrame, translator: Translator, terms: DataFrame | None
     return done, admitted.where("response IS NOT NULL AND response <> ''").select("key", "response")
 
 
+def translate_in_order(blocks: DataFrame, translator: Translator, terms: DataFrame | None = None, most: int = bt.CONTEXT) -> DataFrame:
+    """As `translate`, but each batch is given the last accepted pairs of its file, so a file is one task.
+
+    Replies that are English never become context. The glossary is gathered: it is a list that a person wrote.
+    """
+    import re
+
+    comp = [] if terms is None else sorted(([r.longest, r.ord, r.target, r.variants, r.patterns, gl_line(r)] for r in gl.compiled(terms).toLocalIterator()), key=lambda c: (-c[0], c[1]))
+    known = [(ordinal, target, variants, [re.compile(java_pattern(v)) for v in variants], line) for _, ordinal, target, variants, _, line in comp]
+    packed = bt.pack(blocks, "file", "n", "text", "name" if "name" in blocks.columns else None)
+    kind = {c: packed.schema[c].dataType.simpleString() for c in ("file", "n")}
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        context: list[tuple[str, str]] = []
+        rows = []
+        for _, batch in frame.sort_values("n").groupby("batch", sort=True):
+            texts, visible = batch["text"].tolist(), batch["visible"].fillna("").tolist()
+            here = [t for t in known if any(p.search(v) for p in t[3] for v in visible)]
+            safe, maps = zip(*(protect_plain(t, here) for t in texts), strict=True)
+            hint = "\n".join([gl.HEAD, *(t[4] for t in sorted(here)), gl.FOOT]) + "\n\n" if here else ""
+            before = context_plain(context)
+            items = translator_items(translator, hint + before, list(safe))
+            for n, text, one, marks in zip(batch["n"], texts, items, maps, strict=True):
+                new = restore_plain(one, marks, here) if one else text
+                rows.append((frame["file"].iloc[0], n, text, new))
+                if new != text and plain.counts(new)[0] >= 2:
+                    context = [*context, (text, new)][-most:]
+        return pd.DataFrame(rows, columns=["file", "n", "text", "translation"])
+
+    return packed.select("file", "n", "text", "visible", "batch").groupBy("file").applyInPandas(run, f"file {kind['file']}, n {kind['n']}, text string, translation string")
+
+
+def gl_line(r) -> str:
+    return f"- {r.source}{'（' + ' / '.join(r.aliases) + '）' if r.aliases else ''} → {r.target}"
+
+
+def java_pattern(v: str) -> str:
+    """The pattern of a spelling for Python's re."""
+    import re
+
+    edge = "[A-Za-z0-9]"
+    bounded = re.match(edge, v[0]) and re.match(edge, v[-1])
+    return f"(?<!{edge}){re.escape(v)}(?!{edge})" if bounded else re.escape(v)
+
+
+Pairs = list[tuple[str, str]]
+
+
+def protect_plain(text: str, known: list) -> tuple[str, Pairs]:
+    marks: Pairs = []
+    for _, target, _, patterns, _ in known:
+        hit = next((p for p in patterns if p.search(text)), None)
+        if hit:
+            mark = f"@@BT{len(marks)}@@"
+            text = hit.sub(mark, text)
+            marks.append((mark, target))
+    return text, marks
+
+
+def restore_plain(text: str, marks: list[tuple[str, str]], known: list) -> str:
+    for mark, target in marks:
+        text = text.replace(mark, target)
+    for _, target, variants, patterns, _ in known:
+        for v, p in zip(variants, patterns, strict=True):
+            if v != target:
+                text = p.sub(lambda _, t=target: t, text)
+    return text
+
+
+def context_plain(pairs: Pairs) -> str:
+    lines = [f"{i}. EN: {en}\n   ZH: {zh}" for i, (en, zh) in enumerate(pairs, 1)]
+    return "\n".join([bt.CONTEXT_HEAD, *lines, "", ""]) if pairs else ""
+
+
+def translator_items(translator: Translator, prefix: str, items: list[str]) -> list[str]:
+    """The replies to a batch: parsed, asked for again in a strict format, or alone; '' where there is none."""
+    ask = bt.ASK.format(len(items)) + "\n".join(f"{i + 1}. {t}" for i, t in enumerate(items))
+    most = max(800, min(8000, 3 * sum(map(len, items)) // 8 + 30 * len(items) + 200))
+
+    def parsed(prompt: str) -> dict[int, str]:
+        try:
+            return plain.reply_items(translator.chat(prompt, most), len(items))
+        except Exception:  # noqa: BLE001
+            return {}
+
+    found = parsed(prefix + ask)
+    if not found and len(items) > 1:
+        found = parsed(bt.REMINDER + prefix + ask)
+    out = []
+    for i, t in enumerate(items, 1):
+        one = found.get(i, "")
+        if not one:
+            try:
+                one = plain.squeeze(translator.chat(prefix + bt.ASK_ONE + t, max(1000, 3 * len(t)))).strip('"“”')
+            except Exception:  # noqa: BLE001
+                one = ""
+        out.append(one)
+    return out
+
+
 def accepted(done: DataFrame) -> DataFrame:
     """The translations to insert: not empty, not the source, two CJK characters at least."""
     return done.where((F.col("translation") != "") & (tx.norm("translation") != tx.norm("text")) & (tx.han("translation") >= 2))

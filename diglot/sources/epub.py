@@ -146,6 +146,19 @@ def unsafe_names(table: DataFrame) -> DataFrame:
     return refused.unionByName(cases)
 
 
+def short_names(table: DataFrame) -> DataFrame:
+    """book, name: the HTML files whose names say that their blocks are short."""
+    return table.where(paths.is_html("path") & paths.is_short("path")).select("book", paths.basename("path").alias("name")).distinct()
+
+
+def target_name(book):
+    """The name of a target-only book from that of a bilingual one."""
+    from diglot.functions.text import safe_name
+
+    bare = F.regexp_replace(book, "(_zh)?[-_]bilingual|-中英双语", "")
+    return F.concat(safe_name(bare), F.lit("-中文"))
+
+
 def fingerprints(table: DataFrame) -> DataFrame:
     return table.withColumn("sha1", F.sha1("content"))
 

@@ -13,9 +13,9 @@ from diglot.plans import book
 from diglot.plans.client import Echo, English
 from diglot.sources import epub, records
 
-CONTAINER = '<?xml version="1.0"?><container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><!-- <rootfile full-path="no.opf"/> --><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-OPF = '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>My Book</dc:title><dc:creator>Ann</dc:creator></metadata><manifest>{items}</manifest><spine toc="ncx">{refs}</spine></package>'
-NCX = '<?xml version="1.0"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint id="a"><navLabel>Alpha</navLabel><content src="Text/alpha.xhtml"/><navPoint id="b"><navLabel><text>Beta</text></navLabel><content src="Text/beta.xhtml"/></navPoint></navPoint></navMap></ncx>'
+CONTAINER = "<?xml version='1.0'?><container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><!-- <rootfile full-path='no.opf'/> --><rootfile full-path='OEBPS/content.opf' media-type='application/oebps-package+xml'/></rootfiles></container>"
+OPF = "<?xml version='1.0'?><package xmlns='http://www.idpf.org/2007/opf' xmlns:dc='" + xml.DC_SPACE + "'><metadata><dc:title>My Book</dc:title><dc:creator>Ann</dc:creator></metadata><manifest>{items}</manifest><spine toc='ncx'>{refs}</spine></package>"
+NCX = "<?xml version='1.0'?><ncx xmlns='" + xml.NCX_SPACE + "'><navMap><navPoint id='a'><navLabel>Alpha</navLabel><content src='Text/alpha.xhtml'/><navPoint id='b'><navLabel><text>Beta</text></navLabel><content src='Text/beta.xhtml'/></navPoint><!-- --></navPoint><!-- --></navMap></ncx>"
 PAGE = "<html><body><h1>{t}</h1><p>The {t} chapter has a paragraph of English text.</p></body></html>"
 
 
@@ -32,8 +32,8 @@ def write(path, files):
 
 
 def make_book(path, names=("alpha", "beta"), ncx=True):
-    items = "".join(f'<item id="{n}" href="Text/{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names) + ('<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>' if ncx else "")
-    files = {"mimetype": "application/epub+zip", "META-INF/container.xml": CONTAINER, "OEBPS/content.opf": OPF.format(items=items, refs="".join(f'<itemref idref="{n}"/>' for n in names))}
+    items = "".join(f"<item media-type='{xml.PAGE}' id='{n}' href='Text/{n}.xhtml'/>" for n in names) + (f"<item media-type='{xml.NCX}' id='ncx' href='toc.ncx'/>" if ncx else "")
+    files = {"mimetype": "application/epub+zip", "META-INF/container.xml": CONTAINER, "OEBPS/content.opf": OPF.format(items=items, refs="".join(f"<itemref idref='{n}'/>" for n in names))}
     files |= {f"OEBPS/Text/{n}.xhtml": PAGE.format(t=n.title()) for n in names} | ({"OEBPS/toc.ncx": NCX} if ncx else {})
     write(path, files | {"decoy.opf": "<package/>", "OEBPS/pad.bin": "x" * 3000})
 
@@ -58,7 +58,7 @@ def test_package_lookup():
     assert xml.package_path(["OEBPS/content.opf", "a.opf"], CONTAINER) == ("OEBPS/content.opf", None)
     assert xml.package_path(["z.opf", "a.opf"], CONTAINER)[0] == "a.opf" and xml.package_path(["z.opf"], None) == ("z.opf", "no usable container")
     assert xml.package_path(["x.html"], "broken <") == (None, None)
-    p = xml.Package(OPF.format(items='<item id="a" href="x.html#f"/><item id="a" href="y.html"/><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/>', refs='<itemref idref="a"/><itemref idref="gone"/>'))
+    p = xml.Package(OPF.format(items='<item id="a" href="x.html#f"/><item id="a" href="y.html"/><item id="n" media-type="' + xml.NCX + '" href="t.ncx"/>', refs='<itemref idref="a"/><itemref idref="gone"/>'))
     assert p.reading_order() == ["y.html"] and p.ncx() == "t.ncx" and (p.title, p.creator) == ("My Book", "Ann")
 
 
@@ -141,7 +141,7 @@ def test_whole_book(spark, tmp_path):
         page = both[f"OEBPS/Text/{name}.xhtml"]
         assert f"<p>The {name.title()} chapter" in page and "<p>" + Chinese.prefix in page
     assert "OEBPS/nav.xhtml" in both and Chinese.prefix + "Alpha" in both["OEBPS/toc.ncx"] and 'properties="nav"' in both["OEBPS/content.opf"]
-    alone, _ = read(tmp_path / "out/chinese/in.epub")
+    alone, _ = read(tmp_path / "out/chinese/in-中文.epub")
     assert "chapter has a paragraph" not in alone["OEBPS/Text/beta.xhtml"] and Chinese.prefix in alone["OEBPS/Text/beta.xhtml"]
 
 

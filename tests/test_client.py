@@ -22,7 +22,7 @@ def chat(replies, **more):
 
 
 def ok(text, why="stop", **usage):
-    return 200, {}, json.dumps({"choices": [{"message": {"content": text}, "finish_reason": why}], "usage": usage})
+    return 200, {}, json.dumps(dict(usage=usage, choices=[dict(finish_reason=why, message=dict(content=text))]))
 
 
 def test_retries_and_backoff():
@@ -112,6 +112,25 @@ def test_cached_replies_are_not_asked_again(spark):
     assert tr.accepted(again).count() == 30 and again.where(F.col("translation").startswith("译文：")).count() == 30
 
 
+class Recorder(Chat):
+    """Numbers its replies and keeps what it was asked in the reply."""
+
+    def __init__(self):
+        super().__init__("http://x", "k")
+
+    def chat(self, prompt, max_tokens=4000, ok=None):
+        n = prompt.count("EN: ")
+        count = prompt.rpartition("\n\n")[2].count("\n") + 1
+        return "\n".join(f"{i + 1}. 译文带有 {n} 对前文 {'@@BT0@@' if '@@BT0@@' in prompt else ''}" for i in range(count))
+
+
+def test_context_goes_from_batch_to_batch(spark):
+    blocks = spark.createDataFrame([("f", i, f"alpha text number {i}", "alpha") for i in range(30)] + [("g", 0, "other", "other")], "file string, n int, text string, visible string")
+    terms = spark.createDataFrame([(0, "alpha", "阿尔法", [])], gl.TERM)
+    got = {(r.file, r.n): r.translation for r in tr.translate_in_order(blocks, Recorder(), terms, 2).collect()}
+    assert "0 对前文 阿尔法" in got["f", 0] and "2 对前文 阿尔法" in got["f", 12] and "2 对前文" in got["f", 29] and got["g", 0].strip() == "译文带有 0 对前文"
+
+
 def test_stream_resumes(spark, tmp_path):
     from diglot.streaming.resume import latest_state, resume
 

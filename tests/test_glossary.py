@@ -32,7 +32,7 @@ def test_appearing_needs_boundaries_and_one_text(spark):
 def test_protect_takes_the_longest_spelling_only(spark):
     df = with_terms(spark, ["sharpe ratios and Sharpe ratio", "alpha alpha", "none here"])
     got = [r.p for r in df.select("i", gl.protect(F.col("t"), F.col("terms")).alias("p")).orderBy("i").collect()]
-    assert got[0].text == "@@BT0@@ and Sharpe ratio" and [tuple(m) for m in got[0]["map"]] == [("@@BT0@@", "夏普比率")]
+    assert got[0].text == "@@BT0@@ and Sharpe ratio" and [(m.target, m.ph) for m in got[0]["map"]] == [("夏普比率", "@@BT0@@")]
     assert got[1].text == "@@BT0@@ @@BT0@@" and got[2].text == "none here" and got[2]["map"] == []
 
 

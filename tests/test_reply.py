@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from diglot.functions import reply
+from diglot.functions import plain, reply
 
 CASES = [
     ("1. 甲\n2. 乙", None, {1: "甲", 2: "乙"}),
@@ -26,6 +26,7 @@ CASES = [
 
 @pytest.mark.parametrize(("raw", "expect", "want"), CASES)
 def test_items(spark, raw, expect, want):
+    assert plain.reply_items(raw, expect) == want
     df = spark.createDataFrame([(raw,)], "r string")
     assert df.select(reply.items("r", None if expect is None else F.lit(expect)).alias("x")).first().x == want
 

@@ -51,8 +51,8 @@ def test_small_functions(spark):
 
 
 def test_utf8_declarations(spark):
-    given = ['<?xml version="1.0" encoding="GBK"?><a/>', '<?xml version="1.0" encoding="utf-8"?><a/>', '<meta charset="gb2312">', '<meta http-equiv="Content-Type" content="text/html; charset=latin-1">', '<meta charset=UTF-8>', "none"]
-    want = ['<?xml version="1.0" encoding="utf-8"?><a/>', given[1], '<meta charset="utf-8">', '<meta http-equiv="Content-Type" content="text/html; charset=utf-8">', given[4], "none"]
+    given = ["<?xml version='1.0' encoding='GBK'?><a/>", "<?xml version='1.0' encoding='utf-8'?><a/>", "<meta charset='gb2312'>", "<meta content='text/html; charset=latin-1' http-equiv='Content-Type'>", "<meta charset=UTF-8>", "none"]
+    want = ["<?xml version='1.0' encoding='utf-8'?><a/>", given[1], "<meta charset='utf-8'>", "<meta content='text/html; charset=utf-8' http-equiv='Content-Type'>", given[4], "none"]
     assert column(spark, given, tx.declare_utf8("t")) == want
 
 
