@@ -488,3 +488,123 @@ def html_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     """li and h1 elements of the tree; these tags have no attributes in the pages, so their start tags can be counted in SQL."""
     found = ht.nodes(table(spark, sf, "pages"), "page_id", "html").where("tag IN ('li', 'h1')").groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("items"), F.count_if(F.col("tag") == "h1").alias("headings"))
     return table(spark, sf, "pages").select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("headings", F.lit(0)).alias("headings"))
+
+
+# ---- archives, packages and records built from the tables ----
+
+
+@query("SELECT doc_id, coalesce(source, '') AS book, sha1(coalesce(text, '')) AS digest FROM documents")
+def archive_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the members of a book for each source, written as archives and read again."""
+    from diglot.storage import fresh_path
+
+    docs = table(spark, sf, "documents")
+    rows = docs.select(F.coalesce("source", F.lit("")).alias("book"), F.format_string("OEBPS/d%d.html", "doc_id").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    folder = fresh_path(spark, "archives").removeprefix("file://")
+    epub.save(rows, folder)
+    back = epub.texts(epub.members(spark, folder))
+    return back.select(F.regexp_extract("path", "d(\\d+)", 1).cast("long").alias("doc_id"), "book", F.sha1("text").alias("digest"))
+
+
+@query("""SELECT p_partkey AS id, 'OEBPS/T' || p_size || '/c' || p_partkey || '.html' AS resolved, 'T' || p_size || '/c' || p_partkey || '.html' AS href,
+  CASE p_partkey % 3 WHEN 0 THEN '../T' WHEN 1 THEN 'T' ELSE '../../OEBPS/T' END || p_size || '/c' || p_partkey || '.html' AS relative, 'OEBPS/content.opf' AS package, 'bt-OEBPS-T' || p_size || '-c' || p_partkey || '.html' AS item FROM part""")
+def path_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths with detours in normal form, resolved, made relative and made ids."""
+    base = F.concat(F.lit("T"), F.col("p_size").cast("string"), F.lit("/c"), F.col("p_partkey").cast("string"), F.lit(".html"))
+    dest = F.concat(F.lit("OEBPS/"), base)
+    detour = F.concat(F.lit(" ./x/..//"), F.replace(base, F.lit("/"), F.lit("\\")), F.lit("#part"))
+    package = F.when(F.col("p_partkey") % 3 == 0, "OEBPS/pkg/content.opf").when(F.col("p_partkey") % 3 == 1, "OEBPS/content.opf").otherwise("A/B/content.opf")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), paths.resolve(F.lit("OEBPS/content.opf"), detour).alias("resolved"), paths.href(detour).alias("href"), paths.relative(package, dest).alias("relative"), paths.likely_package(dest).alias("package"), paths.item_id(dest).alias("item"))
+
+
+@query("SELECT l_orderkey AS book, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) AS place, 'Text/p' || l_partkey || '-' || l_suppkey || '.xhtml' AS href FROM lineitem")
+def package_spines(spark: SparkSession, sf: str) -> DataFrame:
+    """Package documents written from order lines and parsed: their documents in reading order."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from diglot.operators.xml import Package
+
+    name = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), F.struct("l_linenumber", "l_partkey", "l_suppkey", name.alias("name")).alias("s")).groupBy("book").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["name"]).alias("names"))
+    item = F.array_join(F.transform(F.array_sort("names"), lambda n: F.concat(F.lit("<opf:item href='./Text/../Text/"), n, F.lit(".xhtml#x' id='"), n, F.lit("'/>"))), "")
+    ref = F.array_join(F.transform("names", lambda n: F.concat(F.lit("<opf:itemref idref='"), n, F.lit("'/>"))), "")
+    text = F.concat(F.lit("<opf:package xmlns:opf='urn:x'><!-- <item/> --><opf:manifest>"), item, F.lit("</opf:manifest><opf:spine>"), ref, F.lit("<opf:itemref idref='gone'/></opf:spine></opf:package>"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(b, i, h) for b, t in zip(f["book"], f["text"], strict=True) for i, h in enumerate(Package(t).reading_order())], columns=["book", "place", "href"])
+
+    return rows.select("book", text.alias("text")).mapInPandas(run, "book long, place long, href string")
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier)
+  SELECT n_name AS nation, coalesce(max(r), 0) + 1 AS points, CASE WHEN max(r) IS NULL THEN 1 ELSE 2 END::BIGINT AS depth, n_name || coalesce(' ' || string_agg(s_suppkey::VARCHAR, ' ' ORDER BY r), '') AS labels FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY n_name""")
+def repaired_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents documents with bare labels and no numbers, written from nations and suppliers, repaired and read."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from diglot.operators import xml
+
+    low = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list("s_suppkey")).alias("keys"))
+    point = lambda label, inner: F.concat(F.lit("<navPoint><navLabel> "), label, F.lit(" </navLabel>"), inner, F.lit("</navPoint>"))
+    inner = F.coalesce(F.array_join(F.transform("keys", lambda k: point(k.cast("string"), F.lit(""))), ""), F.lit(""))
+    rows = table(spark, sf, "nation").join(low, "n_nationkey", "left").select(F.col("n_name").alias("nation"), F.concat(F.lit("<ncx><navMap>"), point(F.col("n_name"), inner), F.lit("</navMap></ncx>")).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for name, text in zip(f["nation"], f["text"], strict=True):
+                root = xml.tree(xml.repaired_ncx(text, name, ""))
+                found = xml.named(root, "navPoint")
+                depth = next(int(m.get("content")) for m in xml.named(root, "meta") if m.get("name") == "dtb:depth")
+                numbers = [int(p.get("playOrder")) for p in found]
+                labels = " ".join(xml.words(xml.kids(p, "navLabel")[0]) for p in found)
+                out.append((name, max(numbers) if numbers == sorted(numbers) else -1, depth, labels))
+            yield pd.DataFrame(out, columns=["nation", "points", "depth", "labels"])
+
+    return rows.mapInPandas(run, "nation string, points long, depth long, labels string")
+
+
+@query("SELECT p_partkey // 50 AS doc, p_partkey % 50 AS ord, p_name AS source, p_brand AS target, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN p_type ELSE 'x' || p_size || '|y' END AS aliases FROM part WHERE p_size % 7 <> 0")
+def glossary_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Glossaries written as JSON, as a list or an object, and parsed; terms without a target are dropped."""
+    alias = F.when(F.col("p_size") % 3 == 0, "[]").when(F.col("p_size") % 3 == 1, F.to_json(F.struct(F.col("p_type").alias("v")))).otherwise(F.concat(F.lit('["x'), F.col("p_size").cast("string"), F.lit('"," ","y",7]')))
+    plain_alias = F.when(F.col("p_size") % 3 == 1, F.regexp_extract(alias, '^\\{"v":(.*)\\}$', 1)).otherwise(alias)
+    target = F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.col("p_brand"))
+    one = F.concat(F.regexp_replace(F.to_json(F.struct(F.col("p_name").alias("source"), target.alias("target"))), "\\}$", ""), F.lit(',"aliases":'), plain_alias, F.lit("}"))
+    doc = F.floor(F.col("p_partkey") / 50)
+    listed = table(spark, sf, "part").groupBy(doc.alias("doc")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("j")))), lambda x: x["j"]).alias("js"))
+    text = F.concat(F.lit("["), F.array_join("js", ","), F.lit("]"))
+    raw = listed.select("doc", F.when(F.col("doc") % 2 == 0, text).otherwise(F.concat(F.lit('{"terms":'), text, F.lit("}"))).alias("value"))
+    return records.glossary_terms(raw, keep=["doc"]).select("doc", F.col("ord").cast("long").alias("ord"), "source", "target", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query("SELECT o_orderkey AS book, c_custkey AS file, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 GROUP BY ALL")
+def resume_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Resume states in JSON that match their base and, where they name it, their source; stale and broken ones are left out."""
+    o = table(spark, sf, "orders")
+    now = o.select(F.col("o_orderkey").alias("book"), F.sha1(F.col("o_orderkey").cast("string")).alias("base"), F.sha1(F.col("o_orderpriority")).alias("src"))
+    base = F.when(F.col("o_orderkey") % 3 == 0, "stale").otherwise(F.sha1(F.col("o_orderkey").cast("string")))
+    src = F.when(F.col("o_orderkey") % 4 == 0, F.sha1("o_orderpriority"))
+    state = F.to_json(F.struct(base.alias("base_sha1"), src.alias("src_sha1"), F.array(F.col("o_custkey").cast("string")).alias("done")))
+    raw = o.select(F.col("o_orderkey").alias("book"), F.when(F.col("o_orderkey") % 2 == 0, state).otherwise(F.left(state, F.lit(9))).alias("value"))
+    valid = records.valid_states(records.states(raw, keep=["book"]), now)
+    return valid.select("book", F.explode(F.transform("done", lambda x: x.cast("long"))).alias("file")).groupBy("book", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+S_MEMBERS = r"""p AS (SELECT DISTINCT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS book, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages), s AS (SELECT book, path, min(page_id) AS ord FROM p WHERE path <> '' GROUP BY book, path), b AS (SELECT *, regexp_replace(path, '^.*/', '') AS base, count(*) OVER (PARTITION BY book, regexp_replace(path, '^.*/', '')) AS n FROM s)"""
+
+
+@query(f"WITH {S_MEMBERS} SELECT book, path, CASE WHEN ord % 3 = 0 THEN path WHEN ord % 3 = 1 AND n = 1 THEN 'T/' || base END AS dest FROM b WHERE base <> ''")
+def job_destinations(spark: SparkSession, sf: str) -> DataFrame:
+    """Where translations of pages are: a third under the same path, a third in another folder if the name is unique, the rest nowhere."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("book"), F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1).alias("path")).where("path <> ''")
+    source = p.groupBy("book", "path").agg(F.min("page_id").alias("ord")).where(paths.basename("path") != "")
+    unique = Window.partitionBy("book", paths.basename("path"))
+    moved = source.withColumn("n", F.count(F.lit(1)).over(unique)).where("ord % 3 = 1 AND n = 1").select("book", F.concat(F.lit("T/"), paths.basename("path")).alias("path"), "ord")
+    target = source.where("ord % 3 = 0").select("book", "path", "ord").unionByName(moved)
+    return jobs.destinations(source, target).select("book", "path", "dest")

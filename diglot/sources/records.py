@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,20 @@ def _typed(c: Column, path: str, kind: str) -> Column:
     return F.when(F.schema_of_variant(v) == kind, F.try_variant_get(c, path, "string"))
 
 
-def glossary_terms(raw: DataFrame, column: str = "value") -> DataFrame:
-    """ord, source, target, aliases from JSON documents: a list of terms, or an object with `terms`.
+def glossary_terms(raw: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns to keep, ord, source, target, aliases from JSON documents: a list of terms, or an object with `terms`.
 
     Terms need a source and a target; one alias may stand without a list; blank aliases and those equal
     to the source are dropped. What isn't JSON has no terms.
     """
     v = F.try_parse_json(F.col(column))
     listed = F.coalesce(F.try_variant_get(v, "$.terms", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"))
-    rows = raw.select(F.posexplode(listed).alias("ord", "term"))
+    rows = raw.select(*keep, F.posexplode(listed).alias("ord", "term"))
     text = lambda p: F.trim(F.coalesce(F.try_variant_get("term", p, "string"), F.lit("")))
     many = F.filter(F.coalesce(F.try_variant_get("term", "$.aliases", "array<variant>"), F.array().cast("array<variant>")), lambda a: F.schema_of_variant(a) == "STRING")
     alone = F.array(_typed(F.col("term"), "$.aliases", "STRING"))
     aliases = F.when(F.schema_of_variant(F.try_variant_get("term", "$.aliases", "variant")) == "STRING", alone).otherwise(F.transform(many, lambda a: F.try_variant_get(a, "$", "string")))
-    found = rows.select("ord", text("$.source").alias("source"), text("$.target").alias("target"), F.transform(aliases, lambda a: F.trim(a)).alias("aliases"))
+    found = rows.select(*keep, "ord", text("$.source").alias("source"), text("$.target").alias("target"), F.transform(aliases, lambda a: F.trim(a)).alias("aliases"))
     kept = found.where("source <> '' AND target <> ''")
     return kept.withColumn("aliases", F.filter("aliases", lambda a: (a != "") & (a != F.col("source"))))
 
@@ -89,9 +90,9 @@ def compact_cache(spark: SparkSession, folder: str, into: str) -> None:
 STATE = "base_sha1 string, src_sha1 string, done array<string>, attempts map<string,int>"
 
 
-def states(raw: DataFrame, column: str = "value") -> DataFrame:
+def states(raw: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """Resume states of JSON documents; what isn't an object with a list of done files is left out."""
-    return raw.select(F.from_json(column, STATE, {"mode": "PERMISSIVE"}).alias("s")).select("s.*").where("base_sha1 IS NOT NULL AND done IS NOT NULL")
+    return raw.select(*keep, F.from_json(column, STATE, {"mode": "PERMISSIVE"}).alias("s")).select(*keep, "s.*").where("base_sha1 IS NOT NULL AND done IS NOT NULL")
 
 
 def valid_states(found: DataFrame, prints: DataFrame) -> DataFrame:
