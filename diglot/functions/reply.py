@@ -56,12 +56,12 @@ def items(raw: Column | str, expect: Column | None = None) -> Column:
         begins = n.isNotNull() & (acc["last"].isNull() | (n > acc["last"]))
         if expect is not None:
             begins = begins & (n <= expect)
-        put = lambda i, t: F.struct(i.alias("i"), t.alias("t"))
-        joined = F.concat(acc["found"], F.array(put(acc["last"], line)))
-        fresh = F.concat(acc["found"], F.array(put(n, strip(content(line)))))
-        return F.when(begins, F.struct(n.alias("last"), fresh.alias("found"))).when(acc["last"].isNull(), acc).otherwise(F.struct(acc["last"].alias("last"), joined.alias("found")))
-
-    found = F.aggregate(lines, start, step)["found"]
-    keys = F.array_distinct(F.transform(found, lambda x: x["i"]))
-    text = lambda k: unquoted(strip(F.array_join(F.transform(F.filter(found, lambda x: x["i"] == k), lambda x: x["t"]), " ")))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, text(k))))
+        put = lambda i, t: F.array(F.struct(i.alias("i"), t.alias("t")))
+        before = F.slice(acc["found"], F.lit(1), F.greatest(F.size(acc["found"]) - 1, F.lit(0)))
+        longer = F.concat(before, put(acc["last"], F.concat(F.element_at(acc["found"], -1)["t"], F.lit(" "), line)))
+        fresh = F.concat(acc["found"], put(n, strip(content(line))))
+        grown = F.struct(acc["last"].alias("last"), longer.alias("found"))
+        return F.when(begins, F.struct(n.alias("last"), fresh.alias("found"))).when(acc["last"].isNull(), acc).otherwise(grown)
+
+    # numbers only grow, so each is one entry; the fold is evaluated once
+    return F.map_from_entries(F.aggregate(lines, start, step, lambda acc: F.transform(acc["found"], lambda x: F.struct(x["i"], unquoted(strip(x["t"]))))))
