@@ -164,11 +164,14 @@ def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFram
     taken = {c.lower() for c in docs.columns}
     gone_id, cut, left = (next(n for n in (base + "_" * i for i in range(99)) if n not in taken) for base in ("gone_id", "cut_lines", "left_text"))
     gone = materialise(repeated_lines(docs, least_chars).groupBy("doc_id").agg(F.collect_set("line").alias(cut)).withColumnRenamed("doc_id", gone_id), "cut-lines")
+    # documents that surely lose nothing aren't shuffled
+    some = in_filter(gone.select(_h(gone[gone_id]).alias("key")))(_h(docs["doc_id"].cast("long")))
+    whole, docs = docs.where(~some), docs.where(some)
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[gone_id]), "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col(cut), i)), "\n")
     changed = joined.withColumn(left, F.when(F.col(cut).isNull(), docs["text"]).otherwise(kept))
-    some = changed.where(F.col(cut).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
+    kept_rows = changed.where(F.col(cut).isNull() | F.col(left).rlike(r"[^\x20\x09-\x0D]"))
     out = {"text": F.col(left)}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col(cut).isNull(), docs["n_chars"]).otherwise(F.length(left).cast(docs.schema["n_chars"].dataType))
-    return some.select(*[out.get(c, docs[c]).alias(c) for c in docs.columns])
+    return whole.unionByName(kept_rows.select(*[out.get(c, docs[c]).alias(c) for c in docs.columns]))
