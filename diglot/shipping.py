@@ -11,10 +11,18 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _done: set[str] = set()
+#: Spark's default of 64 MB is held several times over by each Python worker while a batch passes.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package as a zip file to the session, once for each application."""
+    """Adds the package as a zip file to the session, once for each application.
+
+    Arrow batches of a session with the default size become 8 MB at most.
+    """
+    key, default, smaller = BATCH
+    if spark.conf.get(key, smaller) == default:
+        spark.conf.set(key, smaller)
     app = spark.sparkContext.applicationId
     if app in _done:
         return
