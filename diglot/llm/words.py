@@ -108,7 +108,7 @@ def split(column: pa.Array, lower: bool = False) -> Words:
     return Words(value, row, first, last, count, data, offsets)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of whole rows whose texts take about most_bytes, one row at least."""
     n = batch.num_rows
     if not n:
