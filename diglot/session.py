@@ -32,6 +32,13 @@ def session(cores: int | str = 8, app: str = "diglot", **conf: str) -> SparkSess
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables, as a Parquet scan that filters and projections reach."""
+    """One of the driver's tables, as a Parquet scan that filters and projections reach.
+
+    Texts and pages in one local file are spread over all cores: such a file is small, has few row
+    groups, and would keep one core busy. Tables of many files are read as they are.
+    """
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path)
+    alone = name in ("documents", "pages", "conversations") and os.path.isfile(path)
+    return found.repartition(spark.sparkContext.defaultParallelism) if alone else found
