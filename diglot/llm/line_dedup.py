@@ -1,8 +1,9 @@
 """Line dedup: equal and one-edit lines across all documents, by deletion neighbourhoods.
 
-Lines are trimmed and lower-cased; those of at least `least_chars` (32) characters take part, shorter
-ones always stay. A line goes if an earlier line, in the order of (doc_id, line number), is equal to it
-or differs by one inserted, deleted or substituted character. So the earliest of each group stays.
+Lines are trimmed and lower-cased. With `every`, all lines with a word take part: a line goes if an earlier
+line, in the order of (doc_id, line number), is equal to it or, where both have `least_chars` characters or
+more, differs by one inserted, deleted or substituted character. So the earliest of each group stays.
+Without `every`, lines under `least_chars` always stay.
 
 Everything is a DataFrame operation on the JVM:
 
@@ -47,10 +48,11 @@ def _h(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
-def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
     """doc_id, line (number from 0), norm and key of the lines that take part."""
+    takes_part = F.col("norm").rlike(r"[^\x20\x09-\x0D]") if every else F.length("norm") >= least_chars
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line", "raw"))
-    norm = parts.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm")).where(F.length("norm") >= least_chars)
+    norm = parts.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm")).where(takes_part)
     return norm.select("doc_id", "line", "norm", _h(F.col("norm")).alias("key"), F.hash("norm").alias("check"))
 
 
@@ -134,36 +136,36 @@ def earliest_near(near: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("norm", "near_norm", 1) >= 0).select("id", "near").distinct()
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
     """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
-    lines = lines_of(docs, least_chars)
+    lines = lines_of(docs, least_chars, every)
     ident = F.struct("key", "check")
-    rows = lines.select("key", "check", _place().alias("place"), half_keys(F.col("norm")).alias("halves"))
+    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"))
     texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "line-ids")
     near = materialise(earliest_near(possible(lines, texts)), "line-near")
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
-    every = lines.select("doc_id", "line", ident.alias("id"))
-    gone = every.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
+    places = lines.select("doc_id", "line", ident.alias("id"))
+    gone = places.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line").alias("of_line"))
 
 
-def by_document(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def by_document(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
     """For every document its lines, those removed and the documents that keep them: doc_id, n_lines, n_removed, removed_lines, of_doc_ids."""
-    gone = repeated_lines(docs, least_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"), F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"))
+    gone = repeated_lines(docs, least_chars, every).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"), F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"))
     total = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n")).groupBy("doc_id").agg(F.max("n").cast("long").alias("n_lines"))
     joined = total.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     empty = F.array().cast("array<int>"), F.array().cast("array<long>")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", empty[0]).alias("removed_lines"), F.coalesce("of_doc_ids", empty[1]).alias("of_doc_ids"))
 
 
-def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
     """docs with repeated lines cut from their texts, with the columns of docs (n_chars follows the text where there is one).
 
     A document that loses all its lines with a word is a copy, and goes.
     """
     taken = {c.lower() for c in docs.columns}
     gone_id, cut, left = (next(n for n in (base + "_" * i for i in range(99)) if n not in taken) for base in ("gone_id", "cut_lines", "left_text"))
-    gone = materialise(repeated_lines(docs, least_chars).groupBy("doc_id").agg(F.collect_set("line").alias(cut)).withColumnRenamed("doc_id", gone_id), "cut-lines")
+    gone = materialise(repeated_lines(docs, least_chars, every).groupBy("doc_id").agg(F.collect_set("line").alias(cut)).withColumnRenamed("doc_id", gone_id), "cut-lines")
     # documents that surely lose nothing aren't shuffled
     some = in_filter(gone.select(_h(gone[gone_id]).alias("key")))(_h(docs["doc_id"].cast("long")))
     whole, docs = docs.where(~some), docs.where(some)

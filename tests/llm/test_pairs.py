@@ -105,6 +105,15 @@ def test_lines_of_nothing_and_null_ids(spark):
     assert {r.doc_id: r.n_removed for r in ld.by_document(some).collect()} == {None: 0, 1: 1, 2: 2}
 
 
+def test_lines_of_every_length_take_part(spark):
+    rows = [(1, "Short one.\n\na\n \t\nb"), (2, "short one. \n\nb\n \t\nc"), (3, "Short onex.\n12\n13"), (4, "A line of twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(2, 0): (1, 0), (2, 2): (1, 4), (3, 0): (1, 0)}
+    assert {(r.doc_id, r.line): (r.of_doc_id, r.of_line) for r in ld.repeated_lines(docs, 10, every=True).collect()} == want
+    left = {r.doc_id: r.text for r in ld.without_repeats(docs, 10, every=True).collect()}
+    assert left == {1: rows[0][1], 2: "\n \t\nc", 3: "12\n13", 4: rows[3][1]}
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = ld.by_document(docs)._jdf.queryExecution().executedPlan().toString()
