@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document or line has, within one edit, go; so do documents without another line."""
-    return line_dedup.without_repeats(docs, least_chars=10, every=True)
+    """Lines that an earlier document or line has, within one edit of a character or word, go; so do documents without another line."""
+    return line_dedup.without_repeats(docs, least_chars=10, every=True, least_words=10)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Lines are trimmed and lower-cased. With `every`, all lines with a word take part: a line goes if an earlier
 line, in the order of (doc_id, line number), is equal to it or, where both have `least_chars` characters or
 more, differs by one inserted, deleted or substituted character. So the earliest of each group stays.
-Without `every`, lines under `least_chars` always stay.
+Without `every`, lines under `least_chars` always stay. With `least_words`, a line also goes if it differs from
+an earlier one by one inserted, deleted or substituted word, where both have that many words or more: a long
+line may differ by many characters. Lines that differ by two words or more stay.
 
 Everything is a DataFrame operation on the JVM:
 
@@ -20,6 +22,9 @@ Everything is a DataFrame operation on the JVM:
    size is one row per text.
 5. The edit distance of each text and the earliest found is verified.
 
+The word step is the same on words: each word becomes one character, by a hash of 20 bits, so that a word's edit
+is one character's. Such pairs are verified on their words too.
+
 Defined cases: null or empty texts have no lines; a null doc_id comes first; rows that share a doc_id
 are one sequence of documents in an undefined but single order (their lines get the same place, and an
 equal line in the same place is kept); the same line twice in a document goes the second time. Very
@@ -78,6 +83,26 @@ def half_keys(norm: Column) -> Column:
     return F.array(*keys)
 
 
+def words_of(norm: Column) -> Column:
+    return F.array_remove(F.split(F.translate(norm, "\t\n\x0b\f\r", " " * 5), " ", -1), "")
+
+
+def word_halves(words: Column) -> Column:
+    """As half_keys, of words."""
+    n = F.size(words)
+    keys = []
+    for m in (n, n + 1):
+        half = F.greatest(F.floor((m - 1) / 2).cast("int"), F.lit(1))
+        keys += [_h(F.lit(2), m, F.slice(words, 1, half)), _h(F.lit(3), m, F.slice(words, n - half + 1, half))]
+    return F.array(*keys)
+
+
+def coded(words: Column) -> Column:
+    """A text with one character of U+10000 to U+10FFFF a word."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(_h(w), F.lit(1 << 20)) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+
 def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
     """A test of 64-bit hashes that is true for all of keys.key and few others: 2**26 bits, a scalar subquery of 8 MB."""
     place = keys.select((F.pmod("key", F.lit(BITS)) + 1).alias("p"))
@@ -93,12 +118,12 @@ def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
-def possible(lines: DataFrame, idents: DataFrame) -> DataFrame:
+def possible(lines: DataFrame, idents: DataFrame, halves: str = "halves") -> DataFrame:
     """id, place, norm of the distinct lines that share a half key with another: all that can be one edit apart.
 
     A bit filter keeps the texts of other lines out of the shuffle.
     """
-    halves = idents.select("key", F.explode("halves").alias("half"))
+    halves = idents.select("key", F.explode(halves).alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
     some = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "line-keys")
     texts = lines.where(in_filter(some)(F.col("key"))).join(some, "key", "left_semi")
@@ -136,36 +161,53 @@ def earliest_near(near: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("norm", "near_norm", 1) >= 0).select("id", "near").distinct()
 
 
-def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
+def earliest_near_words(near: DataFrame) -> DataFrame:
+    """As earliest_near, for one edit of a word."""
+    found = earliest_near(near.select("id", "place", coded(words_of(F.col("norm"))).alias("norm")))
+    mine = found.join(near.select("id", words_of(F.col("norm")).alias("a")), "id")
+    both = mine.join(near.select(F.col("place").alias("near"), words_of(F.col("norm")).alias("b")), "near")
+    return both.where((F.size(F.array_except("a", "b")) <= 1) & (F.size(F.array_except("b", "a")) <= 1)).select("id", "near").distinct()
+
+
+def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False, least_words: int | None = None) -> DataFrame:
     """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
     lines = lines_of(docs, least_chars, every)
     ident = F.struct("key", "check")
     rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"))
-    texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves")), "line-ids")
+    halves = ["halves"]
+    if least_words is not None:
+        words = words_of(F.col("norm"))
+        rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), words.alias("words"))
+        rows = rows.select("key", "check", "place", "halves", F.when(F.size("words") >= least_words, word_halves(F.col("words"))).alias("word_halves"))
+        halves.append("word_halves")
+    texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in halves]), "line-ids")
     near = materialise(earliest_near(possible(lines, texts)), "line-near")
+    if least_words is not None:
+        by_word = materialise(earliest_near_words(possible(lines, texts, "word_halves")), "line-near-words")
+        near = near.unionByName(by_word).groupBy("id").agg(F.min("near").alias("near"))
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
     places = lines.select("doc_id", "line", ident.alias("id"))
     gone = places.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("of_doc_id"), F.col("first.line").alias("of_line"))
 
 
-def by_document(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
+def by_document(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False, least_words: int | None = None) -> DataFrame:
     """For every document its lines, those removed and the documents that keep them: doc_id, n_lines, n_removed, removed_lines, of_doc_ids."""
-    gone = repeated_lines(docs, least_chars, every).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"), F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"))
+    gone = repeated_lines(docs, least_chars, every, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed_lines"), F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"))
     total = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n")).groupBy("doc_id").agg(F.max("n").cast("long").alias("n_lines"))
     joined = total.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     empty = F.array().cast("array<int>"), F.array().cast("array<long>")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", empty[0]).alias("removed_lines"), F.coalesce("of_doc_ids", empty[1]).alias("of_doc_ids"))
 
 
-def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False, least_words: int | None = None) -> DataFrame:
     """docs with repeated lines cut from their texts, with the columns of docs (n_chars follows the text where there is one).
 
     A document that loses all its lines with a word is a copy, and goes.
     """
     taken = {c.lower() for c in docs.columns}
     gone_id, cut, left = (next(n for n in (base + "_" * i for i in range(99)) if n not in taken) for base in ("gone_id", "cut_lines", "left_text"))
-    gone = materialise(repeated_lines(docs, least_chars, every).groupBy("doc_id").agg(F.collect_set("line").alias(cut)).withColumnRenamed("doc_id", gone_id), "cut-lines")
+    gone = materialise(repeated_lines(docs, least_chars, every, least_words).groupBy("doc_id").agg(F.collect_set("line").alias(cut)).withColumnRenamed("doc_id", gone_id), "cut-lines")
     # documents that surely lose nothing aren't shuffled
     some = in_filter(gone.select(_h(gone[gone_id]).alias("key")))(_h(docs["doc_id"].cast("long")))
     whole, docs = docs.where(~some), docs.where(some)

@@ -48,7 +48,7 @@ def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from diglot.llm.line_dedup import by_document
 
-    return by_document(table(spark, sf_dir, "documents"), least_chars=10, every=True)
+    return by_document(table(spark, sf_dir, "documents"), least_chars=10, every=True, least_words=10)
 
 
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

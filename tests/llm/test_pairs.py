@@ -114,6 +114,27 @@ def test_lines_of_every_length_take_part(spark):
     assert left == {1: rows[0][1], 2: "\n \t\nc", 3: "12\n13", 4: rows[3][1]}
 
 
+def test_lines_a_word_apart_agree_with_brute_force(spark):
+    r = random.Random(8)
+    lines = [sentence(r, r.randint(6, 40)).split(" ") for _ in range(40)]
+    for _ in range(120):
+        line = list(r.choice(lines))
+        for _ in range(r.randint(0, 2)):
+            at, kind = r.randrange(len(line)), r.randrange(3)
+            line[at : at + (kind < 2)] = [] if kind == 0 else ["quitelongerword"]
+        lines.append(line)
+    rows = [(i, "  ".join(x)) for i, x in enumerate(lines)]
+    want = {}
+    for i, a in enumerate(lines):
+        texts = [" ".join(x) for x in lines[: i + 1]]
+        near = [j for j, b in enumerate(lines[:i]) if a == b or (edits(texts[i], texts[j]) <= 1) or (min(len(a), len(b)) >= 10 and edits(a, b) <= 1)]
+        if near:
+            want[i] = near[0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.of_doc_id for r in ld.repeated_lines(docs, 10, every=True, least_words=10).collect()}
+    assert set(got) == set(want) and any(abs(len(rows[i][1]) - len(rows[j][1])) > 5 for i, j in want.items())
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = ld.by_document(docs)._jdf.queryExecution().executedPlan().toString()
