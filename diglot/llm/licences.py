@@ -1,9 +1,11 @@
 """License scans: TF-IDF cosine of lines and files to templates, then inheritance from the nearest directory.
 
 Templates are short public notices. The weights of their words come from the corpus: a word that few
-documents have weighs more. Each line of a document, and its whole text when that is short, is a sparse
-TF-IDF vector (words outside the templates have the greatest weight); the best cosine over templates
-names the licence if it is `least` or more. A document whose licence lines are four fifths of its words or
+documents have weighs more. Each line of a document, and each run of as many words as a template has, across
+lines or inside one, is a sparse TF-IDF vector (words outside the templates have the greatest weight); the best
+cosine over templates names the licence if it is `least` or more. Runs are looked at around anchors only: a
+cosine of `least` needs template words with `least`**2 of its squared weight, so one at least of the rarest
+words that hold more than the rest. A document whose licence lines and runs are four fifths of its words or
 more is a licence file of its directory. A document without a notice of its own inherits from the nearest
 ancestor directory that has a licence file: ancestors are exploded from the path and joined with the
 directories' licences.
@@ -29,8 +31,21 @@ from pyspark.sql import functions as F
 from diglot.llm import words
 from diglot.storage import materialise
 
+APACHE_HEADER = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+)
+MIT_TEXT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+    "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+    "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", APACHE_HEADER],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted.", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -38,7 +53,7 @@ TEMPLATES: dict[str, list[str]] = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, as in the MIT License."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, as in the MIT License.", MIT_TEXT],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
@@ -60,9 +75,19 @@ class Vectors:
         np.add.at(tf, (w.row, which), 1)
         full = tf * self.idf
         self.matrix = full / np.sqrt((full**2).sum(1, keepdims=True))
+        self.length = tf.sum(1).astype(np.int64)
         self.screen = np.zeros(1 << 16, bool)
         self.screen[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def anchors(self, least: float) -> np.ndarray:
+        """For each template, the words of which a vector with a cosine of least has one at least."""
+        order = np.argsort(-np.where(self.matrix > 0, self.idf, -1.0), 1, kind="stable")
+        held = np.cumsum(np.take_along_axis(self.matrix, order, 1) ** 2, 1)
+        need = (held <= 1 - least * least + 1e-9).sum(1) + 1
+        out = np.zeros(self.matrix.shape, bool)
+        np.put_along_axis(out, order, np.arange(self.matrix.shape[1])[None] < need[:, None], 1)
+        return out & (self.matrix > 0)
+
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's place in the vocabulary, or -1."""
         out = np.full(len(hashes), -1)
@@ -98,9 +123,32 @@ def line_of_word(w: words.Words) -> np.ndarray:
     return np.cumsum(cuts)[w.first]
 
 
+def runs(w: words.Words, vectors: Vectors, place: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
+    """(first word, words, template, cosine) of the runs as long as a template that come close to one of that length; longest and closest first."""
+    out = []
+    bounds = w.bounds()
+    anchors = vectors.anchors(least)
+    known = np.flatnonzero(place >= 0)
+    for size in np.unique(vectors.length):
+        wanted = anchors[vectors.length == size].any(0)
+        at = known[wanted[place[known]]]
+        if not len(at):
+            continue
+        low, high = bounds[w.row[at]], bounds[w.row[at] + 1] - size
+        starts = (at[:, None] - np.arange(size)[None]).ravel()
+        starts = np.unique(starts[(starts >= np.repeat(low, size)) & (starts <= np.repeat(high, size))])
+        for a in range(0, len(starts), 1024):
+            s = starts[a : a + 1024]
+            which = (s[:, None] + np.arange(size)[None]).ravel()
+            best, score = vectors.cosines(place[which], w.hash[which], np.repeat(np.arange(len(s)), size), len(s))
+            out += [(int(s[k]), int(size), int(best[k]), float(score[k])) for k in np.flatnonzero(score >= least) if vectors.length[best[k]] == size]
+    return sorted(out, key=lambda x: (-x[1], -x[3], x[0]))
+
+
 def find(w: words.Words, vectors: Vectors, least: float) -> list[tuple[int, str | None, float, int]]:
-    """For each row: line of the best notice, licence, cosine, words in licence lines."""
+    """For each row: line of the best notice, licence, cosine, words in licence lines and runs."""
     place = vectors.places(w.hash)
+    covered = np.zeros(len(w.hash), bool)
     line = line_of_word(w)
     rows = len(w.count)
     out: list[list] = [[None, None, 0.0, 0] for _ in range(rows)]
@@ -113,8 +161,6 @@ def find(w: words.Words, vectors: Vectors, least: float) -> list[tuple[int, str
     keep = hopeful[group]
     renumber = np.cumsum(hopeful) - 1
     n = int(hopeful.sum())
-    if not n:
-        return [tuple(x) for x in out]
     row_of = w.row[np.searchsorted(line, ids)]
     own_first = np.concatenate([[0], np.cumsum(w.data == 10)])
     for a in range(0, n, 4096):
@@ -127,6 +173,16 @@ def find(w: words.Words, vectors: Vectors, least: float) -> list[tuple[int, str
             if score[k] > at[2] + 1e-12:
                 first = w.first[np.searchsorted(line, ids[g])]
                 at[:3] = [int(own_first[first] - own_first[w.offsets[row_of[g]]]), vectors.names[int(best[k])], float(score[k])]
+            covered[np.searchsorted(line, ids[g]) : np.searchsorted(line, ids[g], "right")] = True
+    for start, many, template, cosine in runs(w, vectors, place, least):
+        mine = slice(start, start + many)
+        if 2 * int(covered[mine].sum()) >= many:
+            continue
+        at = out[int(w.row[start])]
+        at[3] += many - int(covered[mine].sum())
+        covered[mine] = True
+        if cosine > at[2] + 1e-12:
+            at[:3] = [int(own_first[w.first[start]] - own_first[w.offsets[w.row[start]]]), vectors.names[template], cosine]
     return [tuple(x) for x in out]
 
 

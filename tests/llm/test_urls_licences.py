@@ -138,6 +138,18 @@ def test_every_template_finds_itself(spark):
     assert got == {i: n for i, (n, _) in enumerate(flat)}
 
 
+def test_notices_across_lines_and_inside_them(spark):
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    prose = "Some words of a long story that goes on, "
+    files = [
+        ("a/LICENSE", wrap(lc.MIT_TEXT, 9)), ("a/x.py", "code only"), ("b/y.py", prose * 3 + "\n" + wrap(lc.APACHE_HEADER, 11) + "\n" + prose * 20), ("b/z.py", "z"),
+        ("c/p.txt", prose * 2 + "This work is licensed under the GNU General Public License, version 3. " + prose * 2), ("c/q.txt", "this work is\nlicensed under the GNU\nGeneral Public License, version 2."), ("d/n.txt", prose * 9), ("d/e.txt", None),
+    ]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.line) for r in lc.scan(docs).collect() if r.license}
+    assert got == {0: ("MIT", "notice", 0), 1: ("MIT", "inherited", None), 2: ("Apache-2.0", "notice", 1), 4: ("GPL-3.0", "notice", 0), 5: ("GPL-2.0", "notice", 0)}
+
+
 def test_ancestors(spark):
     df = spark.createDataFrame([("a/b",), ("",)], "d string").select(lc.ancestors(F.col("d")).alias("x"))
     assert [[tuple(a) for a in r.x] for r in df.collect()] == [[("", 0), ("a", 1), ("a/b", 2)], [("", 0)]]
