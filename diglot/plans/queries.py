@@ -158,6 +158,12 @@ def text_utilities(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", tx.attribute(F.left("html", F.lit(400))).alias("escaped"), tx.safe_name("url").alias("name"), tx.local_name("url").alias("local"))
 
 
+@query(r"""SELECT page_id, sha1(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) AS escaped FROM pages""")
+def escaped_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages as attribute values."""
+    return table(spark, sf, "pages").select("page_id", F.sha1(tx.attribute("html")).alias("escaped"))
+
+
 @query("SELECT page_id, sha1(replace(html, '<meta charset=\"utf-8\">', '<meta charset=\"utf-8\">')) AS same, sha1(html) AS changed FROM pages")
 def utf8_declarations(spark: SparkSession, sf: str) -> DataFrame:
     """UTF-8 pages don't change; pages that declare another encoding become those that declare utf-8."""

@@ -59,3 +59,16 @@ def test_utf8_declarations(spark):
 def test_pure_columns_need_no_python(spark):
     df = spark.createDataFrame([("a",)], "t string").select(tx.norm("t"), tx.skipped("t"), tx.duplicate_key("t"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_pages_are_escaped(spark, sf):
+    from hashlib import sha1
+
+    from diglot import registry
+    from diglot.session import table
+
+    pages = {r.page_id: r.html for r in table(spark, sf, "pages").select("page_id", "html").collect()}
+    assert any(len(x or "") > 400 for x in pages.values())
+    got = {r.page_id: r.escaped for r in registry.queries()["escaped_pages"](spark, sf).collect()}
+    escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    assert got == {i: None if x is None else sha1(escape(x).encode()).hexdigest() for i, x in pages.items()}
