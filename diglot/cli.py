@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Sequence
 
@@ -18,6 +19,8 @@ def main(args_given: Sequence[str] | None = None) -> int:
     parser.add_argument("--retranslate", metavar="NAMES", help="files to translate again", default="")
     parser.add_argument("--test", type=int, metavar="N", help="translate the first N blocks only")
     parser.add_argument("--context", metavar="N", type=int, default=0, help="give each batch the N pairs before it; files are then translated in order")
+    parser.add_argument("--work", help="folder for replies, resumed books and their state; OUT/.work if not given")
+    parser.add_argument("--workers", default="1", help="calls at once, 1 to 4")
     parser.add_argument("--map", help="folder for the title mapping, with --titles-only")
     for flag in ("bilingual-only", "titles-only", "echo", "debug"):
         parser.add_argument(f"--{flag}", action="store_true")
@@ -32,11 +35,16 @@ def main(args_given: Sequence[str] | None = None) -> int:
     try:
         translator = Echo() if args.echo else from_environment()
         spark = session()
+        work = args.work or f"{args.out}/.work"
+        work = work if "://" in work else os.path.abspath(work)
         terms = load_glossary(spark, args.glossary) if args.glossary else None
         if args.titles_only:
-            epub.save(book.with_titles(epub.members(spark, args.source), translator, terms, args.map), args.out)
+            epub.save(book.with_titles(epub.members(spark, args.source), book.Calls(translator, terms, log=f"{work}/replies"), args.map), args.out)
         else:
-            book.run(spark, args.source, args.out, translator, terms, args.target, args.bilingual_only or args.test is not None, only=args.only, again=args.retranslate, most_blocks=args.test, context=args.context)
+            options = dict(only=args.only, again=args.retranslate, most_blocks=args.test, context=args.context, work=work, tasks=args.workers)
+            made = book.run(spark, args.source, args.out, translator, terms, args.target, args.bilingual_only or args.test is not None, **options)
+            used = made["usage"].first()
+            print(f"calls={used.calls} input={used.input} output={used.output} total={used.total}")
     except Exception as e:
         if args.debug:
             raise

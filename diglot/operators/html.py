@@ -35,18 +35,29 @@ class Text:
 
 
 class Node:
-    """An element; the root has no name."""
+    """An element; the root has no name. depth: the elements and the root above it. unseen: in an UNSEEN element, or one itself.
 
-    __slots__ = ("attrs", "kids", "name", "parent")
+    Nothing here recurses: a page may nest as deep as it likes.
+    """
+
+    __slots__ = ("attrs", "depth", "kids", "name", "parent", "unseen")
 
     def __init__(self, name: str, attrs: dict[str, str | None], parent: Node | None):
         self.name, self.attrs, self.parent, self.kids = name, attrs, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        self.unseen = name in UNSEEN or (parent is not None and parent.unseen)
 
     def walk(self) -> Iterator[Node | Text]:
-        for kid in self.kids:
+        """All that is below, in document order."""
+        ahead = [iter(self.kids)]
+        while ahead:
+            kid = next(ahead[-1], None)
+            if kid is None:
+                ahead.pop()
+                continue
             yield kid
             if isinstance(kid, Node):
-                yield from kid.walk()
+                ahead.append(iter(kid.kids))
 
     def elements(self) -> Iterator[Node]:
         return (x for x in self.walk() if isinstance(x, Node))
@@ -67,18 +78,18 @@ class Node:
         """The pieces of text, trimmed, with one space between them."""
         return " ".join(s for s in (x.value.strip() for x in self.texts() if x.kind == "text") if s)
 
-    def visible(self, unseen: frozenset[str] = UNSEEN) -> str:
-        """All characters outside some elements, normalised."""
-        return plain.norm(" ".join(x.value for x in self.texts() if not seen_in(x, unseen)))
+    def visible(self) -> str:
+        """All characters outside UNSEEN elements, normalised."""
+        return plain.norm(" ".join(x.value for x in self.texts() if not x.parent.unseen))
 
     def following(self) -> Node | None:
         """The next sibling that is an element."""
         later = self.parent.kids[self.parent.kids.index(self) + 1 :] if self.parent else []
         return next((x for x in later if isinstance(x, Node)), None)
 
-    def has_translation(self) -> bool:
-        """Whether the next element has the same name and is Chinese."""
-        after = self.following()
+    def has_translation(self, after: Node | None | str = "look") -> bool:
+        """Whether the next element has the same name and is Chinese. after: that element, if it is known."""
+        after = self.following() if after == "look" else after
         if after is None or after.name != self.name:
             return False
         cjk, letters = plain.counts(plain.norm(after.text()))
@@ -91,28 +102,30 @@ class Node:
         self.kids = [Text(value, "text", self)]
 
 
-def seen_in(text: Text, names: frozenset[str]) -> bool:
-    return text.parent.name in names or any(x.name in names for x in text.parent.up())
-
-
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, list[Node]] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, dict(attrs), self.at)
         self.at.kids.append(node)
         if tag not in VOID:
             self.at = node
+            self.open.setdefault(tag, []).append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.at.kids.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        found = next((x for x in [self.at, *self.at.up()] if x.name == tag and x.parent), None)
-        if found:
-            self.at = found.parent
+        same = self.open.get(tag)
+        if not same:
+            return
+        found = same[-1]
+        while self.at is not found.parent:  # each element is closed once
+            self.open[self.at.name].pop()
+            self.at = self.at.parent
 
     def _add(self, value: str, kind: str) -> None:
         last = self.at.kids[-1] if self.at.kids else None
@@ -141,18 +154,60 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def _rendered(text: Text) -> str:
+    value = escape(text.value, quote=False) if text.kind == "text" else text.value
+    return {"comment": "<!--{}-->", "declaration": "<!{}>", "instruction": "<?{}>"}.get(text.kind, "{}").format(value)
+
+
+def _opening(node: Node) -> str:
+    attrs = "".join(f" {k}" if v is None else f' {k}="{escape(v)}"' for k, v in node.attrs.items())
+    return f"<{node.name}{attrs}/>" if node.name in VOID else f"<{node.name}{attrs}>" if node.name else ""
+
+
 def render(node: Node | Text) -> str:
     if isinstance(node, Text):
-        return {"comment": "<!--{}-->", "declaration": "<!{}>", "instruction": "<?{}>"}.get(node.kind, "{}").format(escape(node.value, quote=False) if node.kind == "text" else node.value)
-    inner = "".join(render(k) for k in node.kids)
-    if not node.name:
-        return inner
-    attrs = "".join(f" {k}" if v is None else f' {k}="{escape(v)}"' for k, v in node.attrs.items())
-    return f"<{node.name}{attrs}/>" if node.name in VOID else f"<{node.name}{attrs}>{inner}</{node.name}>"
+        return _rendered(node)
+    out, ahead = [_opening(node)], [(node, iter(node.kids))]
+    while ahead:
+        at, kids = ahead[-1]
+        kid = next(kids, None)
+        if kid is None:
+            ahead.pop()
+            if at.name and at.name not in VOID:
+                out.append(f"</{at.name}>")
+        elif isinstance(kid, Text):
+            out.append(_rendered(kid))
+        else:
+            out.append(_opening(kid))
+            ahead.append((kid, iter(() if kid.name in VOID else kid.kids)))
+    return "".join(out)
+
+
+def holders(root: Node, names: frozenset[str]) -> set[int]:
+    """The ids of the elements that hold an element of these names: each is marked once, from below."""
+    out: set[int] = set()
+    for x in root.elements():
+        at = x.parent if x.name in names else None
+        while at is not None and id(at) not in out:
+            out.add(id(at))
+            at = at.parent
+    return out
+
+
+def successors(root: Node) -> dict[int, Node]:
+    """The next sibling element of each element that has one."""
+    out, last = {}, {}
+    for x in root.elements():
+        before = last.get(id(x.parent))
+        if before is not None:
+            out[id(before)] = x
+        last[id(x.parent)] = x
+    return out
 
 
 def leaves(root: Node, names: frozenset[str] = BLOCKS) -> list[Node]:
-    return [x for x in root.elements() if x.name in names and not x.has(names)]
+    held = holders(root, names)
+    return [x for x in root.elements() if x.name in names and id(x) not in held]
 
 
 def body(root: Node) -> Node:
@@ -161,20 +216,26 @@ def body(root: Node) -> Node:
 
 def eligible(root: Node) -> list[Node]:
     """The leaf blocks to translate."""
-    return [x for x in leaves(root) if not plain.skipped(x.text()) and not x.has_translation()]
+    after = successors(root)
+    return [x for x in leaves(root) if not plain.skipped(x.text()) and not x.has_translation(after.get(id(x)))]
 
 
 # ---- rewriting one document ----
 
 
+def dropped(gone: dict[int, Node]) -> None:
+    """Takes elements out of their parents, each parent's list once."""
+    for parent in {id(x.parent): x.parent for x in gone.values()}.values():
+        parent.kids = [k for k in parent.kids if id(k) not in gone]
+
+
 def collapse(html: str | None) -> tuple[str, int]:
     """A document without adjacent copies, and how many blocks went."""
     root = parse(html)
     nodes = [(x, plain.squeeze(x.text())) for x in leaves(body(root))]
     nodes = [(x, t) for x, t in nodes if len(t) >= 2]
     gone = plain.surplus([t for _, t in nodes], (x.name in CELLS for x, _ in nodes))
-    for k in gone:
-        nodes[k][0].drop()
+    dropped({id(nodes[k][0]): nodes[k][0] for k in gone})
     return (render(root) if gone else html or ""), len(gone)
 
 
@@ -182,13 +243,14 @@ def without_source(html: str | None) -> tuple[str, int]:
     """A document without the English blocks that are followed by their translation."""
     root = parse(html)
     names = BLOCKS | {"div"}
-    nodes = [x for x in body(root).elements() if x.name in names]
-    nodes.sort(key=lambda x: -sum(1 for _ in x.up()))
+    top = body(root)
+    nodes = sorted((x for x in top.elements() if x.name in names), key=lambda x: -x.depth)
+    held, after = holders(top, names), successors(root)
     gone = 0
     for x in nodes:
-        if x.name in HEADINGS | CELLS or (x.name == "div" and x.has(names)):
+        if x.name in HEADINGS | CELLS or (x.name == "div" and (id(x) in held and x.has(names))):
             continue
-        if plain.source_only(plain.squeeze(x.text())) and x.has_translation():
+        if x.has_translation(after.get(id(x))) and plain.source_only(plain.squeeze(x.text())):
             x.drop()
             gone += 1
     return (render(root) if gone else html or ""), gone
@@ -201,18 +263,20 @@ def insert(html: str | None, translations: dict[int, str]) -> tuple[str, int]:
     translation that is empty, English or equal to its source is left out.
     """
     root = parse(html)
-    done = 0
+    done, placed = 0, {}
     for k, x in enumerate(eligible(root)):
         new = translations.get(k) or ""
-        if not new or plain.norm(new) == plain.norm(x.text()) or plain.counts(new)[0] < 2 or x.has_translation():
+        if not new or plain.norm(new) == plain.norm(x.text()) or plain.counts(new)[0] < 2:
             continue
         if x.name in CELLS or (x.name == "li" and x.parent.name == "ol"):
             x.kids += [Node("br", {}, x), Text(new, "text", x)]
         else:
             copy = Node(x.name, {a: v for a, v in x.attrs.items() if a != "id"}, x.parent)
             copy.put_text(new)
-            x.parent.kids.insert(x.parent.kids.index(x) + 1, copy)
+            placed.setdefault(id(x.parent), (x.parent, {}))[1][id(x)] = copy
         done += 1
+    for parent, copies in placed.values():
+        parent.kids = [y for k in parent.kids for y in ((k, copies[id(k)]) if id(k) in copies else (k,))]
     return (render(root) if done else html or ""), done
 
 
@@ -224,19 +288,24 @@ NODES = "node int, parent int, sib int, depth int, tag string, leaf boolean, in_
 def _records(html: str | None) -> list[tuple]:
     root = parse(html)
     top = body(root)
-    ids, before = {id(root): -1}, {}
-    inside = {id(x) for x in top.elements()}
+    ids, before, inside = {id(root): -1}, {}, {id(root): top is root}
+    held, after = holders(root, BLOCKS), successors(root)
+    follows = {id(after[id(x)]): x.name for x in root.elements() if id(x) in after and x.name in BLOCKS and id(x) not in held}
     out = []
     for n, x in enumerate(root.elements()):
         ids[id(x)] = n
         block = x.name in BLOCKS
+        inside[id(x)] = x is top or inside[id(x.parent)]
         sib = before[id(x.parent)] = before.get(id(x.parent), -1) + 1
-        out.append((n, ids[id(x.parent)], sib, sum(1 for _ in x.up()), x.name, block and not x.has(BLOCKS), id(x) in inside, x.parent.name == "ol", x.text(), x.visible() if block else None))
+        leaf = block and id(x) not in held
+        # the text of each of many nested elements would be the page's once more
+        text = x.text() if leaf or follows.get(id(x)) == x.name else None
+        out.append((n, ids[id(x.parent)], sib, x.depth, x.name, leaf, inside[id(x.parent)], x.parent.name == "ol", text, x.visible() if leaf else None))
     return out
 
 
 def nodes(docs: DataFrame, key: str, html_col: str) -> DataFrame:
-    """One row for each element of each document: key and NODES."""
+    """One row for each element of each document: key and NODES. Leaf blocks have their text and visible text, and the element right after one its text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in NODES.split(", ")]

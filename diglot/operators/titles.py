@@ -34,13 +34,14 @@ def candidates(root: ht.Node, contents: bool) -> list[ht.Node]:
 
 def titles_in(text: str | None, path: str) -> list[str]:
     """The English titles of one document, in order."""
-    contents, out = _contents(path), []
-    for x in candidates(ht.parse(text), contents):
+    contents, out, root = _contents(path), [], ht.parse(text)
+    after = ht.successors(root)
+    for x in candidates(root, contents):
         t = plain.norm(x.text())
         holds = x.name in ("li", "div") and x.has(frozenset("h1 h2 h3 h4 p a".split()))
         if not t or (holds and len(t) > 80) or (x.name in IN_CONTENTS | {"text"} and len(t) > 120):
             continue
-        if plain.is_title(t) and (contents or not x.has_translation()):
+        if plain.is_title(t) and (contents or not x.has_translation(after.get(id(x)))):
             out.append(t)
     return out
 
@@ -100,27 +101,35 @@ def replace_one(x: ht.Node, mapping: dict[str, str]) -> bool:
 def apply(text: str | None, path: str, mapping: dict[str, str]) -> tuple[str, int]:
     """A document with its titles replaced, and how many were. mapping: normalised title -> translation."""
     root, contents, done = ht.parse(text), _contents(path), 0
+    after = ht.successors(root)
     for x in candidates(root, contents):
         t = plain.norm(x.text())
         cjk, letters = plain.counts(t)
-        if not cjk and letters >= 2 and t in mapping and (contents or not x.has_translation()):
+        if not cjk and letters >= 2 and t in mapping and (contents or not x.has_translation(after.get(id(x)))):
             done += replace_one(x, mapping)
     return (ht.render(root) if done else text or ""), done
 
 
-def applied(docs: DataFrame, path: str, text: str, mapping: DataFrame) -> DataFrame:
-    """docs with titles replaced and `replaced`, from a table title, translation of one book's titles (bounded by its contents)."""
+def applied(docs: DataFrame, book: str, path: str, text: str, mapping: DataFrame) -> DataFrame:
+    """docs with titles replaced and `replaced`, from a table book, title, translation: each document is given its book's titles."""
     from pyspark.sql import types as T
 
-    known = {plain.norm(r.title): r.translation for r in mapping.select("title", "translation").toLocalIterator()}
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+    titles, values, columns = _fresh(docs, "titles"), _fresh(docs, "values"), docs.columns
+    per = mapping.groupBy(F.col("book").alias(book)).agg(F.collect_list(F.struct("title", "translation")).alias("z")).select(book, F.col("z.title").alias(titles), F.col("z.translation").alias(values))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            done = [apply(x, p, sent.value) for x, p in zip(f[text], f[path], strict=True)]
-            yield f.assign(**{text: [d[0] for d in done], "replaced": [d[1] for d in done]})
+            known = [{} if t is None else dict(zip(map(plain.norm, t), v, strict=True)) for t, v in zip(f[titles], f[values], strict=True)]
+            done = [apply(x, p, k) for x, p, k in zip(f[text], f[path], known, strict=True)]
+            yield f[columns].assign(**{text: [d[0] for d in done], "replaced": [d[1] for d in done]})
+
+    return docs.join(per, book, "left").select(*docs.columns, titles, values).mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("replaced", T.IntegerType())]))
+
 
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField("replaced", T.IntegerType())]))
+def _fresh(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 Marks = list[tuple[str, str]]
@@ -137,7 +146,7 @@ def protect_html(text: str | None, terms: Marks) -> tuple[str, Marks]:
     seen = root.visible()
     tried = [(re.compile(p), t) for p, t in terms if re.search(p, seen)]
     for x in root.texts():
-        if x.kind not in ("text", "raw") or ht.seen_in(x, ht.UNSEEN):
+        if x.kind not in ("text", "raw") or x.parent.unseen:
             continue
         for p, target in tried:
             if p.search(x.value):

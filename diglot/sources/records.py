@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,16 +77,50 @@ def misses(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(cache, "key", "left_anti").dropDuplicates(["key"])
 
 
+def log_replies(folder: str, entries: list[tuple[str, str]]) -> None:
+    """Adds (key, response) pairs to the log from a task: a file that appears whole, under a name that no other has."""
+    where, path = fs.FileSystem.from_uri(folder)
+    where.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex
+    with where.open_output_stream(f"{path}/_{name}") as out:
+        out.write("".join(json.dumps({"key": k, "response": r}) + "\n" for k, r in entries).encode())
+    where.move(f"{path}/_{name}", f"{path}/{name}.jsonl")
+
+
 def append_cache(replies: DataFrame, folder: str) -> None:
     """Adds non-empty replies to the log; each task's file appears whole or not at all."""
     kept = replies.where("response IS NOT NULL AND response <> ''")
     kept.select(F.to_json(F.struct("key", "response")).alias("value")).write.mode("append").text(folder)
 
 
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a log (value) in the order in which their files came (seq)."""
+    return spark.read.text(folder).withColumn("seq", F.struct(F.col("_metadata.file_modification_time"), F.monotonically_increasing_id()))
+
+
+def open_cache(spark: SparkSession, folder: str, slack: int = SLACK) -> DataFrame:
+    """key, response of a log, which is compacted first if it has more than `slack` dead lines; a missing one is empty."""
+    where, path = fs.FileSystem.from_uri(folder)
+    for _ in range(2):
+        old = [x.path for x in where.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.path.endswith((".jsonl", ".txt"))]
+        if not old:
+            return spark.createDataFrame([], "key string, response string")
+        lines = log_lines(spark, folder)
+        if not needs_compaction(lines, slack=slack):
+            break
+        # the new file is in place before the old ones go: a crash between leaves lines twice, which is no harm
+        compact_cache(spark, folder, f"{folder}/_compact")
+        for x in where.get_file_info(fs.FileSelector(f"{path}/_compact")):
+            if x.path.endswith(".txt"):
+                where.move(x.path, f"{path}/{uuid.uuid4().hex}.jsonl")
+        for x in old:
+            where.delete_file(x)
+    return latest(cache_entries(lines))
+
+
 def compact_cache(spark: SparkSession, folder: str, into: str) -> None:
     """Writes the latest entries of a log to another folder, one line a key."""
-    lines = spark.read.text(folder).withColumn("seq", F.struct(F.col("_metadata.file_modification_time"), F.monotonically_increasing_id()))
-    latest(cache_entries(lines)).select(F.to_json(F.struct("key", "response")).alias("value")).write.mode("overwrite").text(into)
+    latest(cache_entries(log_lines(spark, folder))).select(F.to_json(F.struct("key", "response")).alias("value")).write.mode("overwrite").text(into)
 
 
 STATE = "base_sha1 string, src_sha1 string, done array<string>, attempts map<string,int>"

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from diglot.shipping import ship
@@ -37,6 +38,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(path: str) -> bool:
+    """Whether there is a file or folder of this name on the file system that its scheme names."""
+    where, name = fs.FileSystem.from_uri(path)
+    return where.get_file_info(name).type != fs.FileType.NotFound
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read again: its lineage ends at files that outlive executors."""
     spark = df.sparkSession

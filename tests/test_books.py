@@ -2,6 +2,7 @@
 
 import io
 import json
+import uuid
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from diglot.functions import decode
 from diglot.operators import xml
 from diglot.plans import book
-from diglot.plans.client import Echo, English
+from diglot.plans.client import CallFailed, Echo, English
 from diglot.sources import epub, records
 
 CONTAINER = "<?xml version='1.0'?><container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><!-- <rootfile full-path='no.opf'/> --><rootfile full-path='OEBPS/content.opf' media-type='application/oebps-package+xml'/></rootfiles></container>"
@@ -147,9 +148,9 @@ def test_whole_book(spark, tmp_path):
 
 def test_resume_translates_only_what_is_missing(spark, tmp_path):
     make_book(tmp_path / "b.epub", ("a1", "a2", "a3"))
-    done, _ = book.translated(spark, str(tmp_path / "b.epub"), Echo(), only="a1.xhtml,a3.xhtml")
+    done = book.translated(spark, str(tmp_path / "b.epub"), book.Calls(Echo()), only="a1.xhtml,a3.xhtml")
     epub.save(done.where("path <> 'OEBPS/Text/a2.xhtml'"), str(tmp_path / "have"))
-    again, _ = book.translated(spark, str(tmp_path / "b.epub"), Echo(), target=str(tmp_path / "have"))
+    again = book.translated(spark, str(tmp_path / "b.epub"), book.Calls(Echo()), target=str(tmp_path / "have"))
     pages = {r.path: bytes(r.content).decode() for r in again.collect()}
     assert pages["OEBPS/Text/a1.xhtml"].count("译文：The") == 1 and pages["OEBPS/Text/a2.xhtml"].count("译文：The") == 1
     assert xml.Package(pages["OEBPS/content.opf"]).reading_order() == [f"Text/a{i}.xhtml" for i in (1, 2, 3)]
@@ -157,7 +158,96 @@ def test_resume_translates_only_what_is_missing(spark, tmp_path):
 
 def test_english_replies_change_nothing(spark, tmp_path):
     make_book(tmp_path / "b.epub", ("one",))
-    out, fresh = book.translated(spark, str(tmp_path / "b.epub"), English())
+    out = book.translated(spark, str(tmp_path / "b.epub"), book.Calls(English()))
     page = next(bytes(r.content).decode() for r in out.collect() if r.path.endswith("one.xhtml"))
     assert page == PAGE.format(t="One")
     assert io.StringIO(page).read() == page
+
+
+class Counted(Chinese):
+    """Notes each prompt in a folder; refuses those with a word."""
+
+    def __init__(self, folder, refuse=None):
+        self.folder, self.refuse = folder, refuse
+
+    def chat(self, prompt, max_tokens=4000):
+        (self.folder / uuid.uuid4().hex).write_text(prompt)
+        if self.refuse and self.refuse in prompt:
+            raise CallFailed("status 503", 503)
+        return super().chat(prompt, max_tokens)
+
+
+def prompts(folder):
+    found = [p.read_text() for p in folder.iterdir()]
+    [p.unlink() for p in folder.iterdir()]
+    return found
+
+
+def test_a_second_run_asks_only_for_what_failed(spark, tmp_path):
+    make_book(tmp_path / "b.epub", ("alpha", "beta", "gamma"), ncx=False)
+    (tmp_path / "calls").mkdir()
+    args = spark, str(tmp_path / "b.epub"), str(tmp_path / "out")
+    work = str(tmp_path / "work")
+    with pytest.raises(CallFailed, match="1 calls failed"):
+        book.run(*args, Counted(tmp_path / "calls", "The Beta chapter"), work=work, tasks=1)
+    assert len(prompts(tmp_path / "calls")) == 3 and not (tmp_path / "out").exists()
+    made = book.run(*args, Counted(tmp_path / "calls"), work=work)
+    asked = prompts(tmp_path / "calls")
+    assert sum("chapter" in p for p in asked) == 1 and any("The Beta chapter" in p for p in asked)
+    assert "译" in read(tmp_path / "out/bilingual/b.epub")[0]["OEBPS/Text/alpha.xhtml"] and made["usage"].first().calls == 0
+    state = json.loads(next((tmp_path / "work/state").glob("*.txt")).read_text())
+    assert state["book"] == "b" and sorted(state["done"]) == [f"OEBPS/Text/{n}.xhtml" for n in ("alpha", "beta", "gamma")]
+    book.run(*args, Counted(tmp_path / "calls"), work=work)
+    assert prompts(tmp_path / "calls") == []
+    book.translated(spark, str(tmp_path / "b.epub"), book.Calls(Counted(tmp_path / "calls")), work=work, again="beta.xhtml")
+    assert all("Beta" in p for p in prompts(tmp_path / "calls"))
+
+
+def test_futile_files_are_given_up_after_three_runs(spark, tmp_path):
+    make_book(tmp_path / "b.epub", ("one",), ncx=False)
+    work = str(tmp_path / "work")
+    for n in (1, 2, 3):
+        book.translated(spark, str(tmp_path / "b.epub"), book.Calls(English()), work=work)
+        state = json.loads(next((tmp_path / "work/state").glob("*.txt")).read_text())
+        assert (state["attempts"], state["done"]) == (({"OEBPS/Text/one.xhtml": n}, []) if n < 3 else ({}, ["OEBPS/Text/one.xhtml"]))
+
+
+def test_first_blocks_go_by_job_in_each_book(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("p", "q"):
+        make_book(tmp_path / "in" / f"{name}.epub", ("zeta", "alpha"), ncx=False)
+    out = book.translated(spark, str(tmp_path / "in"), book.Calls(Echo()), most_blocks=1)
+    pages = {(r.book, r.path): bytes(r.content).decode() for r in out.where("path like '%.xhtml'").collect()}
+    assert all(("译文" in text) == (path == "OEBPS/Text/zeta.xhtml") for (_, path), text in pages.items()) and len(pages) == 4
+
+
+def test_a_failed_call_in_order_keeps_the_other_files(spark, tmp_path):
+    make_book(tmp_path / "b.epub", ("alpha", "beta"), ncx=False)
+    (tmp_path / "calls").mkdir()
+    with pytest.raises(CallFailed):
+        book.translated(spark, str(tmp_path / "b.epub"), book.Calls(Counted(tmp_path / "calls", "The Beta chapter"), context=2), work=str(tmp_path / "work"))
+    prompts(tmp_path / "calls")
+    book.translated(spark, str(tmp_path / "b.epub"), book.Calls(Counted(tmp_path / "calls"), context=2), work=str(tmp_path / "work"))
+    assert {"Alpha chapter" in p for p in prompts(tmp_path / "calls")} == {False}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from diglot.cli import main
+
+    make_book(tmp_path / "b.epub", ("alpha",), ncx=False)
+    assert main([str(tmp_path / "b.epub"), str(tmp_path / "out"), "--echo", "--test", "1"]) == 0
+    assert "译文" in read(tmp_path / "out/bilingual/b.epub")[0]["OEBPS/Text/alpha.xhtml"] and "calls=" in capsys.readouterr().out
+    assert not (tmp_path / "out/chinese").exists() and not (tmp_path / "out/.work/state").exists()
+    assert main([str(tmp_path / "b.epub"), str(tmp_path / "titled"), "--echo", "--titles-only"]) == 0
+    assert "译文" in read(tmp_path / "titled/b.epub")[0]["OEBPS/Text/alpha.xhtml"]
+    assert main([str(tmp_path / "gone.epub"), str(tmp_path / "x"), "--echo"]) in (0, 1)
+    with pytest.raises(SystemExit) as e:
+        main(["--nonsense"])
+    assert e.value.code == 2
+
+
+def test_no_key_is_an_error(monkeypatch, capsys):
+    from diglot.cli import main
+
+    monkeypatch.delenv("DIGLOT_API_KEY", raising=False)
+    assert main(["a", "b"]) == 1 and "DIGLOT_API_KEY" in capsys.readouterr().err

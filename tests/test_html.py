@@ -87,3 +87,34 @@ def test_distinct_titles_keep_first_place(spark):
     docs = spark.createDataFrame([("b", "toc.html", 1, "<a>Two</a><a>One</a>"), ("b", "nav.html", 0, "<a>One</a>")], "book string, path string, ord int, text string")
     got = [(r.title, r.ord) for r in tt.collect(docs, "book", "path", "ord", "text").orderBy("ord").collect()]
     assert got == [("One", 1), ("Two", 2)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + f"<p>{EN}</p>", f"<p>{EN}" * 100_000, "<div><p>a b c d</p>" * 50_000, f"<p>{EN}</p><p>{ZH}</p>" * 20_000, "</p></div><b>" * 50_000])
+def test_deep_and_wide_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    root = ht.parse(page)
+    assert ht.parse(ht.render(root)).elements().__next__().name == next(root.elements()).name
+    ht.collapse(page), ht.without_source(page), ht.insert(page, {0: ZH}), tt.titles_in(page, "x.html"), ht._records(page)
+    assert len(ht.leaves(root)) == len({id(x) for x in root.elements() if x.name in ht.BLOCKS and not any(k.name in ht.BLOCKS for k in x.kids if isinstance(k, ht.Node))})
+    assert time.process_time() - began < 60
+
+
+def test_trees_agree_with_a_plain_recursion():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        page = "".join(rng.choice(["<p>", "<div>", "<li>", "</p>", "</div>", "</li>", "<br>", "<b>", "</b>", "text ", "文字文字 ", "<td>", "<code>"]) for _ in range(40))
+        root = ht.parse(page)
+
+        def below(x):
+            return [z for k in x.kids if isinstance(k, ht.Node) for z in (k, *below(k))]
+
+        every = below(root)
+        assert [id(x) for x in root.elements()] == [id(x) for x in every]
+        assert [id(x) for x in ht.leaves(root)] == [id(x) for x in every if x.name in ht.BLOCKS and not any(z.name in ht.BLOCKS for z in below(x))]
+        after = ht.successors(root)
+        assert all(after.get(id(x)) is x.following() for x in every)
+        assert all(x.depth == sum(1 for _ in x.up()) and x.unseen == any(y.name in ht.UNSEEN for y in (x, *x.up())) for x in every)
