@@ -5,13 +5,15 @@ A shard file is data frames, then two skippable frames:
 * the index (magic 0x184D2A50): uint32 width of an id, uint64 documents, then for each document its
   doc_id (int64), its number of ids (uint32) and its frame (uint32);
 * the seek table (magic 0x184D2A5E) of the public zstd seekable format: for each frame its compressed
-  size, its size and the low 32 bits of its checksum; at the end the number of frames, a flag byte and
-  the magic 0x8F92EAB1.
+  size, its size and the low 32 bits of the XXH64 of its content (the checksum that ends the frame too);
+  at the end the number of frames, a flag byte and the magic 0x8F92EAB1.
 
 Any zstd tool can decompress the whole file; `read_documents` opens only the frames that hold the
 documents asked for. Documents are whole within a frame. A null text is an empty text, which has the
 end id only; rows with the same doc_id are separate documents in the order of their texts; a null
-doc_id comes first and is stored as the least integer. An empty table gives no shards.
+doc_id comes first and is stored as the least integer. A very long document is one frame, whose sizes fit
+their 32 bits: a Spark string is under 2 GB, and has no more ids than bytes. Only the id and text columns are
+read, whatever else the table has. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ class ShardWriter:
         raw = b"".join(self._held)
         frame = self._zip.compress(raw)
         self._out.write(frame)
-        self._frames.append((len(frame), len(raw), zlib.crc32(raw)))
+        self._frames.append((len(frame), len(raw), int.from_bytes(frame[-4:], "little")))
         self._held, self._size = [], 0
 
     def close(self) -> dict:
@@ -119,8 +121,10 @@ class ShardReader:
 
     def read_frame(self, k: int) -> bytes:
         """Frame k, held against its checksum."""
+        import xxhash
+
         raw = self._zip.decompress(self._at(int(self.begins[k]), int(self.frames[k, 0])), max_output_size=int(self.frames[k, 1]))
-        if len(raw) != self.frames[k, 1] or zlib.crc32(raw) != self.frames[k, 2]:
+        if len(raw) != self.frames[k, 1] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.frames[k, 2]:
             raise ValueError(f"frame {k} doesn't match its checksum")
         self.opened += 1
         return raw

@@ -97,6 +97,19 @@ def test_readers_open_only_the_frames_they_need(spark, tmp_path):
     raw = (tmp_path / "s/a.zst").read_bytes()
     with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as z:
         assert z.read() == b"".join(want[i].astype("<u2").tobytes() for i in range(50))
+    # the table at the end is that of the public seekable format: sizes and the low half of XXH64
+    import struct
+
+    import xxhash
+
+    frames, flags, magic = struct.unpack("<IBI", raw[-9:])
+    table = np.frombuffer(raw[-9 - 12 * frames : -9], "<u4").reshape(-1, 3)
+    assert (magic, flags, struct.unpack("<II", raw[-17 - 12 * frames : -9 - 12 * frames])) == (0x8F92EAB1, 0x80, (0x184D2A5E, 12 * frames + 9))
+    at = 0
+    for size, full, check in table.tolist():
+        content = zstandard.ZstdDecompressor().decompress(raw[at : at + size])
+        assert len(content) == full and xxhash.xxh64_intdigest(content) & 0xFFFFFFFF == check
+        at += size
     damaged = bytearray(raw)
     damaged[len(raw) // 4] ^= 255
     (tmp_path / "s/b.zst").write_bytes(damaged)
