@@ -9,21 +9,26 @@ every window of the document's words, one at each word, is a candidate place. Th
 2. These windows are embedded by CGK random walks (position j of the output repeats the word under a
    pointer that a random bit of (walk, j, word) moves on), which turns few edits into a small Hamming
    distance. Samples of a few positions, repeated over walks and tables, are looked up among the
-   items' samples. The number of tables comes from simulated edits of the items at the full edit
-   bound, so that the target recall is reached.
-3. The candidates are verified by the exact edit distance.
+   items' samples. Each item length has its own number of tables, from simulated edits of random texts of
+   that length at the full edit bound (`tables_for`), so that every length reaches the target recall, whatever
+   else is searched for. Lengths that no number of tables serves go from the filter to the third step.
+3. The candidates are verified by the exact edit distance, many at once.
 
-The items are held in every task: their size is checked first, and more items than `most_bytes` are
-taken in several passes over the documents. Nothing of the documents is shuffled.
+Items with the same words are one entry of the index. The items are held in every task: their size is
+checked first, and more items than `most_bytes` are taken in several passes over the documents, with the
+same result. Nothing of the documents is shuffled.
 
 Defined cases: words are cut at ASCII white space, A-Z lower-cased; null or empty texts and items match
 nothing; items of fewer than five words match without edits only; repeated items give a row each;
-repeated documents are searched one by one; an empty table gives an empty result.
+repeated documents are searched one by one; a very long text is searched whole, in windows of a bounded number
+at once; of several places with as few edits the first counts; other columns, whatever their names, pass
+through `remove` and aren't read by `search`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,21 +83,31 @@ def embed(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: np.
     return out
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """The least edits from item to a prefix of text, and that prefix's length; most + 1 if there is none within most."""
-    n = min(len(text), len(item) + most)
-    row = np.arange(n + 1)
-    span = np.arange(n + 1)
-    for i, word in enumerate(item):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (text[:n] != word))
-        new = np.minimum.accumulate(new - span) + span
-        if new.min() > most:
-            return most + 1, 0
-        row = new
-    end = int(row.argmin())
-    return int(row[end]), end
+def edit_distances(items: np.ndarray, texts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of items [m, n] the least edits to a prefix of its text [m, t], and that prefix's length.
+
+    Texts are padded with _END, which no item has; rows beyond `most` edits have most + 1 and 0.
+    """
+    m, t = texts.shape
+    span = np.arange(t + 1)
+    row = np.tile(span, (m, 1))
+    live = np.arange(m)
+    edits, used = np.full(m, most + 1), np.zeros(m, np.int64)
+    for i in range(items.shape[1]):
+        new = np.empty((len(live), t + 1), np.int64)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts[live] != items[live, i, None]))
+        new = np.minimum.accumulate(new - span, axis=1) + span
+        good = new.min(1) <= most
+        live, row = live[good], new[good]
+        if not len(live):
+            return edits, used
+    # words after the text's end are no part of a match
+    row = np.where(np.cumsum(np.pad(texts[live], ((0, 0), (1, 0))) == _END, axis=1) > 0, most + 1, row)
+    end = row.argmin(1)
+    edits[live], used[live] = row[np.arange(len(live)), end], end
+    edits[live[edits[live] > most]] = most + 1
+    return edits, used
 
 
 def bound(n: int) -> int:
@@ -106,15 +121,24 @@ def pieces(n: int) -> list:
 
 
 class Index:
-    """The items' pieces and table keys."""
+    """The items' pieces and table keys. Items with the same words are one entry."""
 
-    def __init__(self, item_ids: list[int], texts: list[str | None], tables: int):
+    def __init__(self, item_ids: list[int], texts: list[str | None], tables: dict[int, int]):
         w = words.split(pa.array(texts, pa.string()), lower=True)
         edges = w.bounds()
-        self.tables = tables
-        self.items = [(i, w.hash[edges[k] : edges[k + 1]]) for k, i in enumerate(item_ids) if edges[k + 1] > edges[k]]
+        same: dict[bytes, int] = {}
+        self.items: list[np.ndarray] = []
+        self.ids: list[list[int]] = []
+        for k, i in enumerate(item_ids):
+            h = w.hash[edges[k] : edges[k + 1]]
+            if len(h):
+                at = same.setdefault(h.tobytes(), len(self.items))
+                if at == len(self.items):
+                    self.items.append(h)
+                    self.ids.append([])
+                self.ids[at].append(i)
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for _, h in self.items:
+        for h in self.items:
             for a, b in pieces(len(h)):
                 found.setdefault(b - a, []).append((int(words.span_of(h, np.array([a]), np.array([b]))[0]), len(h), a))
         self.pieces = {}
@@ -124,13 +148,23 @@ class Index:
             screen = np.zeros(1 << 18, bool)
             screen[(key & _U((1 << 18) - 1)).astype(np.int64)] = True
             self.pieces[size] = key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), screen
-        if self.items:
-            flat = np.concatenate([h for _, h in self.items])
-            lengths = np.array([len(h) for _, h in self.items])
-            ends = np.cumsum(lengths)
-            key = embed(flat, ends - lengths, ends, lengths, tables)
+        lengths = np.array([len(h) for h in self.items], np.int64)
+        self.tables_of = np.zeros(int(lengths.max(initial=0)) + 1, np.int64)
+        for n in np.unique(lengths):
+            self.tables_of[n] = tables[int(n)]
+        #: tables -> sorted keys and the item of each; 0 tables: lengths in ascending order and the item of each
+        self.by_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for t in sorted({int(x) for x in self.tables_of[lengths]}):
+            mine = np.flatnonzero(self.tables_of[lengths] == t)
+            if not t:
+                order = np.argsort(lengths[mine], kind="stable")
+                self.by_tables[t] = lengths[mine][order], mine[order]
+                continue
+            flat, size = np.concatenate([self.items[k] for k in mine]), lengths[mine]
+            ends = np.cumsum(size)
+            key = embed(flat, ends - size, ends, size, t)
             order = np.argsort(key.ravel(), kind="stable")
-            self.key, self.which = key.ravel()[order], order // key.shape[1]
+            self.by_tables[t] = key.ravel()[order], mine[order // key.shape[1]]
 
     def starts(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """First word and length of the windows that hold a piece of an item of that length where it may be."""
@@ -160,72 +194,104 @@ class Index:
         code = np.unique(both[:, 0] * (1 << 24) + both[:, 1])
         return code >> 24, code & ((1 << 24) - 1)
 
-    def candidates(self, w: words.Words) -> list[tuple[int, int, int]]:
-        """Row, item and first word of each window and item that share a table key, those that share most first."""
+    def candidates(self, w: words.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First word and item of windows and items that share a table key, some at a time."""
         if not self.items or not len(w.hash):
-            return []
+            return
         start, length = self.starts(w)
         end = np.minimum(start + length, w.bounds()[1:][w.row[start]])
-        found = []
-        for a in range(0, len(start), 1 << 14):
-            some = slice(a, a + (1 << 14))
-            keys = embed(w.hash, start[some], end[some], length[some], self.tables)
-            flat = keys.ravel()
-            low, high = np.searchsorted(self.key, flat), np.searchsorted(self.key, flat, side="right")
-            many = high - low
-            item = self.which[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            found.append(np.stack([np.repeat(np.repeat(start[some], keys.shape[1]), many), item], 1))
-        if not found:
-            return []
-        pairs, count = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        return [(int(w.row[s]), int(i), int(s)) for s, i in pairs[order]]
+        for t, (key, which) in self.by_tables.items():
+            mine = np.flatnonzero(self.tables_of[length] == t)
+            for a in range(0, len(mine), 1 << 13):
+                some = mine[a : a + (1 << 13)]
+                asked = embed(w.hash, start[some], end[some], length[some], t) if t else length[some, None]
+                low, high = np.searchsorted(key, asked.ravel()), np.searchsorted(key, asked.ravel(), side="right")
+                window = np.repeat(start[some], asked.shape[1])
+                for part in bounded(high - low):
+                    many = high[part] - low[part]
+                    item = which[np.repeat(low[part], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                    pairs = np.unique(np.stack([np.repeat(window[part], many), item], 1), axis=0)
+                    yield pairs[:, 0], pairs[:, 1]
 
     def matches(self, column: pa.Array) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(row, item's place) -> edits, words of the item, first word and end in the row's text; the best place for each pair."""
         w = words.split(column, lower=True)
         bounds = w.bounds()
+        text = np.append(w.hash, _END)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for row, k, start in self.candidates(w):
-            item = self.items[k][1]
-            most = bound(len(item))
-            have = best.get((row, k))
-            if have and have[0] == 0:
-                continue
-            edits, used = edit_distance(item, w.hash[start : min(start + len(item) + most, bounds[row + 1])], most)
-            first = start - int(bounds[row])
-            if edits <= most and (not have or (edits, first) < (have[0], have[2])):
-                best[row, k] = edits, len(item), first, first + used
+        for start, item in self.candidates(w):
+            size = np.array([len(self.items[k]) for k in item], np.int64)
+            for n in np.unique(size):
+                most = bound(int(n))
+                of = np.flatnonzero(size == n)
+                step = max(1, (1 << 19) // (int(n) + most))
+                for a in range(0, len(of), step):
+                    s, k = start[of[a : a + step]], item[of[a : a + step]]
+                    row = w.row[s]
+                    place = s[:, None] + np.arange(n + most)
+                    runs = text[np.where(place < bounds[row + 1][:, None], place, len(w.hash))]
+                    edits, used = edit_distances(np.stack([self.items[x] for x in k]), runs, most)
+                    for j in np.flatnonzero(edits <= most):
+                        pair, first = (int(row[j]), int(k[j])), int(s[j] - bounds[row[j]])
+                        have = best.get(pair)
+                        if not have or (edits[j], first) < (have[0], have[2]):
+                            best[pair] = int(edits[j]), int(n), first, first + int(used[j])
         return best
 
 
-def planned_tables(texts: list[str | None], recall: float, trials: int = 400) -> int:
-    """The tables a walk needs so that items edited at the full bound share a key with the target probability."""
-    w = words.split(pa.array(texts, pa.string()), lower=True)
-    edges, rng = w.bounds(), np.random.default_rng(11)
-    long = [k for k in range(len(texts)) if edges[k + 1] - edges[k] >= 5]
-    if not long:
+def bounded(many: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Slices with a sum of at most `most`, or of one element."""
+    part = np.cumsum(many) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(many)]
+    return (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
+def planned(texts: list[str | None], recall: float) -> dict[int, int]:
+    """The tables of each length that the items have."""
+    return {int(n): tables_for(int(n), recall) for n in np.unique(words.split(pa.array(texts, pa.string())).count)}
+
+
+TABLES = (1, 2, 4, 8, 16, 32)
+
+
+@lru_cache(maxsize=None)
+def tables_for(n: int, recall: float, trials: int = 300) -> int:
+    """The tables a walk needs so that items of n words at the full edit bound share a key with the target probability.
+
+    0 if TABLES aren't enough, or the item is so long that planning would take minutes.
+
+    It depends on the length and the target only. Lengths are planned by the next one up of about eight to a doubling:
+    longer items need no fewer tables.
+    """
+    if n < 5:
         return 1
-    flat, sizes, lengths = [], [], []
-    for k in rng.choice(long, trials):
-        item = w.hash[edges[k] : edges[k + 1]]
-        text = list(item)
-        for _ in range(bound(len(item))):
+    if n > 512:
+        return 0
+    grid = 5
+    while grid < n:
+        grid = max(grid + 1, round(grid * 2 ** (1 / 8)))
+    if grid != n:
+        return tables_for(grid, recall, trials)
+    rng = np.random.default_rng(11 + n)
+    flat, sizes = [], []
+    for _ in range(trials):
+        item = rng.integers(1 << 62, size=n).astype(_U)
+        text = item.tolist()
+        for _ in range(bound(n)):
             at, kind = int(rng.integers(len(text))), rng.integers(3)
             if kind == 1 and len(text) > 1:
                 del text[at]
             else:
-                text[at : at + int(kind == 0)] = [_U(rng.integers(1 << 62))]
-        text = text[: len(item)]
+                text[at : at + int(kind == 0)] = [int(rng.integers(1 << 62))]
+        text = text[:n]
         flat += [item, np.array(text, _U)]
-        sizes += [len(item), len(text)]
-        lengths += [len(item)] * 2
+        sizes += [n, len(text)]
     ends = np.cumsum(sizes)
-    for tables in (1, 2, 4, 8, 16):
-        key = embed(np.concatenate(flat), ends - sizes, ends, np.array(lengths), tables)
+    for tables in TABLES:
+        key = embed(np.concatenate(flat), ends - sizes, ends, np.full(len(sizes), n), tables)
         if (key[::2] == key[1::2]).any(1).mean() >= recall:
             return tables
-    raise ValueError(f"a recall of {recall} isn't reached with 16 tables a walk")
+    return 0
 
 
 def item_groups(items: DataFrame, most_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -242,12 +308,12 @@ def item_groups(items: DataFrame, most_bytes: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 16 << 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 64 << 20) -> DataFrame:
     """MATCHES: one row for each document and item that match, at the best place."""
     spark = docs.sparkSession
     out = None
     for ids, texts in item_groups(items, most_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts, planned_tables(texts, recall)))
+        sent = spark.sparkContext.broadcast((ids, texts, planned(texts, recall)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
@@ -256,7 +322,7 @@ def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes:
                 for part in words.slices(batch, "text", 1 << 21):
                     best = index.matches(part.column("text"))
                     doc_id = part.column("doc_id").to_pylist()
-                    rows = [(doc_id[row], index.items[k][0], *found) for (row, k), found in best.items()]
+                    rows = [(doc_id[row], i, *found) for (row, k), found in best.items() for i in index.ids[k]]
                     if rows:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MATCHES.split(", ")])
@@ -266,12 +332,12 @@ def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes:
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
-def remove(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 16 << 20) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs that match no item, with the columns of docs; the verdict is made where the row is, so nothing is shuffled."""
     spark = docs.sparkSession
     kept = docs
     for ids, texts in item_groups(items, most_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts, planned_tables(texts, recall)))
+        sent = spark.sparkContext.broadcast((ids, texts, planned(texts, recall)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = None
@@ -286,4 +352,4 @@ def remove(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes:
     return kept
 
 
-__all__ = ["Index", "bound", "edit_distance", "embed", "planned_tables", "remove", "search"]
+__all__ = ["Index", "bound", "edit_distances", "embed", "remove", "search", "tables_for"]
