@@ -36,7 +36,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from diglot.llm.url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages"), depth=4, most_blocked=0.5)
+    return judge(table(spark, sf_dir, "pages"), most_blocked=0.5)
 
 
 def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

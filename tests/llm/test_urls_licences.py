@@ -33,38 +33,42 @@ def shape(x):
     return "{x}" if re.fullmatch(r"[0-9a-fA-F-]{8,}", x) else "{s}" if len(x) > 32 else x
 
 
-def brute(urls, depth=4, strength=4.0):
+def brute(urls, strength=4.0):
     """The tree, level by level, on plain dictionaries."""
     rows = []
     for u in urls:
         host, path = plain_parts(u)
-        segs = [shape(x) for x in path.split("/") if x]
-        rows.append([host, tuple(segs[:depth] + ["{rest}"] if len(segs) > depth else segs), "", plain_rule(host, path)[1]])
-    for d in range(depth + 1):
+        rows.append([host, tuple(shape(x) for x in path.split("/") if x), "", plain_rule(host, path)[1]])
+    for d in range(max(len(r[1]) for r in rows)):
         each = defaultdict(lambda: [0, 0, 0, Counter()])
         for host, segs, prefix, label in rows:
             if len(segs) > d:
-                nxt = segs[d + 1] if len(segs) > d + 1 else "{end}"
                 e = each[host, prefix, segs[d]]
                 e[0] += 1
                 e[1] += label == "allow"
                 e[2] += label == "block"
-                e[3][nxt if nxt in uf.KINDS[:4] else "{w}"] += 1
+                e[3][segs[d + 1] if len(segs) > d + 1 else "{end}"] += 1
         token = {}
         pools = defaultdict(list)
-        for (host, prefix, seg), e in each.items():
+        for (host, prefix, _), e in each.items():
             pools[host, prefix].append(e)
-        for (host, prefix, seg), (n, a, b, kinds) in each.items():
+        for (host, prefix, seg), (n, a, b, follows) in each.items():
             pool = pools[host, prefix]
             N, A, B = (sum(e[k] for e in pool) for k in range(3))
-            K = sum((e[3] for e in pool), Counter())
-            apart = sum(abs(kinds[k] / n - K[k] / N) for k in uf.KINDS) / 2
+            kind = lambda x: x if x.startswith("{") or sum(x in e[3] for e in pool) > 1 else "{w}"
+            own, every = Counter(), Counter()
+            for x, k in follows.items():
+                own[kind(x)] += k
+            for e in pool:
+                for x, k in e[3].items():
+                    every[kind(x)] += k
+            apart = sum(abs(own[k] / n - (every[k] - own[k]) / (N - n)) for k in every) / 2 if N > n else 9
             labels, others = a + b, A + B - a - b
             share = B / max(labels + others, 1)
             gap = abs(b / max(labels, 1) - (B - b) / max(others, 1))
             spread = (share * (1 - share) * (1 / max(labels, 1) + 1 / max(others, 1))) ** 0.5
             differs = labels >= 5 and others >= 5 and gap > 1.96 * spread and gap > 0
-            merged = not differs and ((len(pool) >= 8 and n < 0.02 * N) or (len(pool) >= 2 and apart <= 0.1 + n**-0.5))
+            merged = not differs and ((len(pool) >= 8 and n < 0.02 * N) or apart <= min(0.5, 0.1 + n**-0.5))
             token[host, prefix, seg] = seg if seg.startswith("{") or not merged else "*"
         for r in rows:
             if len(r[1]) > d:
@@ -88,9 +92,15 @@ def urls():
     out = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG", "http://x.org", "http://x.org/", "http://example.org/es/1", "http://notexample.org/es/1", "http://example.org/en/12", "http://b.com/de/x?q", "http://b.com/de#f", "a://b://c/d", "http://É.com/fr/1"]
     for i in range(60):
         out += [f"http://blog.shop.com/{lang}/{i}" for lang in ("fr", "de", "es", "en")] + [f"http://spam.com/de/item/{i}", f"http://spam.com/de2/item/{i}", f"http://q.net/u{i}/profile/{'a' * 40}/deadbeef{i}/x/y/z"]
+    out += [f"http://wide.com/{'a' if i % 9 else 'b'}/{i if i % 9 else 'y'}/p{i}" for i in range(90)] + ["http://deep.com/" + "s/" * 300 + "t"] * 2
     return out + ["http://q.net/about"] * 3
 
 
+def test_a_large_branch_isnt_its_own_sibling():
+    got = dict(zip(urls(), (t for t, _ in brute(urls()))))
+    assert got["http://wide.com/a/1/p1"].startswith("/a/{n}/") and got["http://wide.com/b/y/p0"].startswith("/b/y/")
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls())], "page_id long, url string, host string").repartition(3)
     got = {r.page_id: r for r in uf.judge(pages).collect()}
