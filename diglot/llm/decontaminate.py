@@ -255,7 +255,7 @@ TABLES = (1, 2, 4, 8, 16, 32)
 
 
 @lru_cache(maxsize=None)
-def tables_for(n: int, recall: float, trials: int = 300) -> int:
+def tables_for(n: int, recall: float, trials: int = 600) -> int:
     """The tables a walk needs so that items of n words at the full edit bound share a key with the target probability.
 
     0 if TABLES aren't enough, or the item is so long that planning would take minutes.
@@ -308,7 +308,7 @@ def item_groups(items: DataFrame, most_bytes: int) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
-def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 64 << 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, recall: float = 0.99, most_bytes: int = 64 << 20) -> DataFrame:
     """MATCHES: one row for each document and item that match, at the best place."""
     spark = docs.sparkSession
     out = None
@@ -332,7 +332,7 @@ def search(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes:
     return spark.createDataFrame([], MATCHES) if out is None else out
 
 
-def remove(docs: DataFrame, items: DataFrame, recall: float = 0.98, most_bytes: int = 64 << 20) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, recall: float = 0.99, most_bytes: int = 64 << 20) -> DataFrame:
     """The rows of docs that match no item, with the columns of docs; the verdict is made where the row is, so nothing is shuffled."""
     spark = docs.sparkSession
     kept = docs

@@ -24,7 +24,7 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from diglot.llm.decontaminate import search
 
-    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), recall=0.98)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), recall=0.99)
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
