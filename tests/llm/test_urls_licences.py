@@ -160,6 +160,47 @@ def test_notices_across_lines_and_inside_them(spark):
     assert got == {0: ("MIT", "notice", 0), 1: ("MIT", "inherited", None), 2: ("Apache-2.0", "notice", 1), 4: ("GPL-3.0", "notice", 0), 5: ("GPL-2.0", "notice", 0)}
 
 
+def test_common_forms_of_notices(spark):
+    comment = lambda t, mark: "\n".join(f"{mark} " + " ".join(t.split()[i : i + 10]) for i in range(0, len(t.split()), 10))
+    wanted = [
+        ("Apache-2.0", "Licensed under the Apache License,\nVersion 2.0."), ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'), ("Apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */"),
+        ("MIT", lc.MIT_GRANT), ("MIT", "The MIT License (MIT)"), ("GPL-3.0", comment(lc.GNU_GRANT.format(what="program", kind="", n=3), "#")), ("GPL-2.0", comment(lc.GNU_HEADER.format(what="file", kind="", n=2), "//")),
+        ("Apache-2.0", "/*\n" + comment(lc.APACHE_HEADER, " *") + "\n */\nint x;"), ("BSD-3-Clause", "Copyright (c) 2020, Ann\n\n" + lc.BSD_3 + "\n" + lc.BSD_END), ("GPL-3.0", lc.HEADS["GPL-3.0"][0] + "\n" + "word " * 3000),
+    ]
+    docs = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(wanted)] + [(100 + i, f"d{i}/g", "int main") for i in range(len(wanted))], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in lc.scan(docs).collect()}
+    assert {i: got[i] for i in range(len(wanted))} == {i: (n, "notice") for i, (n, _) in enumerate(wanted)}
+    assert got[109] == ("GPL-3.0", "inherited") and got[108] == ("BSD-3-Clause", "inherited")
+
+
+def test_cosines_agree_with_brute_force():
+    import math
+    import random
+
+    r = random.Random(8)
+    flat = [(n, t) for n in sorted(lc.TEMPLATES) for t in lc.TEMPLATES[n]]
+    split = lambda t: t.lower().split()
+    vocabulary = sorted({w for _, t in flat for w in split(t)})
+    documents = 500
+    v0 = lc.Vectors(lc.TEMPLATES)
+    having = {w: r.randrange(documents) for w in vocabulary}
+    by_hash = {int(lc.words.split(lc.pa.array([w])).hash[0]): having[w] for w in vocabulary}
+    v = lc.Vectors(lc.TEMPLATES, documents, lc.np.array([by_hash[int(h)] for h in v0.vocabulary]))
+    idf = lambda w: math.log((1 + documents) / (1 + having.get(w, 0))) + 1
+
+    def cosine(a, b):
+        x, y = Counter(split(a)), Counter(split(b))
+        norm = lambda c: math.sqrt(sum((k * idf(w)) ** 2 for w, k in c.items()))
+        return sum(x[w] * y[w] * idf(w) ** 2 for w in x) / (norm(x) * norm(y))
+
+    lines = [" ".join(r.sample(split(r.choice(flat)[1]) * 2 + ["other", "words"] * 3, 6)) for _ in range(60)] + [t for _, t in flat]
+    w = lc.words.split(lc.pa.array(lines), lower=True)
+    best, score = v.cosines(v.places(w.hash), w.hash, w.row, len(lines))
+    for line, k, s in zip(lines, best, score):
+        want = [cosine(line, t) for _, t in flat]
+        assert s == pytest.approx(max(want)) and want[k] == pytest.approx(s)
+
+
 def test_ancestors(spark):
     df = spark.createDataFrame([("a/b",), ("",)], "d string").select(lc.ancestors(F.col("d")).alias("x"))
     assert [[tuple(a) for a in r.x] for r in df.collect()] == [[("", 0), ("a", 1), ("a/b", 2)], [("", 0)]]
