@@ -197,6 +197,22 @@ def test_classes_agree_with_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_large_bands_are_split(spark):
+    """Texts that share most of their words and aren't copies, with copies among them; groups of more than four are split."""
+    r = random.Random(4)
+    base = sentence(r, 100).split(" ")
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for at in r.sample(range(100), 3):
+            w[at] = f"own{k}x{at}"
+        rows.append(" ".join(w))
+    rows += [t + " end" for t in rows[::5]]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in nd.classes(docs, most_pairs=4).collect()} == brute_classes(rows, 0.8)
+
+
 def test_classes_of_nothing_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.classes(docs).count() == 0 and nd.keep_one(docs).count() == 0
