@@ -23,16 +23,19 @@ def limits(name: Column | str, short_names: Column | None = None) -> tuple[Colum
     return F.when(short, SHORT_ITEMS).otherwise(ITEMS), F.when(short, SHORT_TOKENS).otherwise(TOKENS)
 
 
-def batch_numbers(costs: Column, most_items: Column, most_tokens: Column) -> Column:
-    """The batch of each item of an array of token costs: greedy, in order, one item at least in each."""
+def batch_starts(costs: Column, most_items: Column, most_tokens: Column) -> Column:
+    """Where the batches of an array of token costs begin: greedy, in order, one item at least in each.
+
+    The fold's array grows by a batch at a time, not by an item.
+    """
     budget = F.when(most_tokens < 1, F.lit(TOKENS)).otherwise(most_tokens)
     items = F.greatest(most_items, F.lit(1))
-    seed = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    seed = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array(F.lit(0)).alias("out"))
 
     def step(acc: Column, cost: Column) -> Column:
         full = (acc["n"] > 0) & ((acc["n"] >= items) | (acc["used"] + cost > budget))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), (F.when(full, 0).otherwise(acc["used"]) + cost).cast("long").alias("used"), F.concat(acc["out"], F.array(batch)).alias("out"))
+        out = F.when(full, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"])
+        return F.struct((acc["at"] + 1).alias("at"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), (F.when(full, 0).otherwise(acc["used"]) + cost).cast("long").alias("used"), out.alias("out"))
 
     return F.aggregate(costs, seed, step)["out"]
 
@@ -40,9 +43,12 @@ def batch_numbers(costs: Column, most_items: Column, most_tokens: Column) -> Col
 def pack(blocks: DataFrame, file: str, order: str, text: str, name: str | None = None) -> DataFrame:
     """blocks with their batch within the file. Only costs and order are gathered, one array a file."""
     items, most = limits(name or F.lit("")) if name else (F.lit(ITEMS), F.lit(TOKENS))
-    grouped = blocks.select(file, *([name] if name and name != file else []), F.struct(F.col(order).alias("o"), tx.tokens(text).alias("c")).alias("s")).groupBy(file, *([name] if name and name != file else [])).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    numbered = grouped.select(file, "s", batch_numbers(F.transform("s", lambda x: x["c"]), items, most).alias("b"))
-    each = numbered.select(file, F.explode(F.arrays_zip("s", "b")).alias("z")).select(file, F.col("z.s.o").alias(order), F.col("z.b").alias("batch"))
+    keys = [file, *([name] if name and name != file else [])]
+    grouped = blocks.select(*keys, F.struct(F.col(order).alias("o"), tx.tokens(text).alias("c")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    begun = grouped.select(file, "s", batch_starts(F.transform("s", lambda x: x["c"]), items, most).alias("b"))
+    batch = begun.select(file, "s", "b", F.posexplode("b").alias("batch", "start"))
+    end = F.coalesce(F.get("b", F.col("batch") + 1), F.size("s"))
+    each = batch.select(file, "batch", F.explode(F.slice("s", F.col("start") + 1, end - F.col("start"))).alias("x")).select(file, F.col("x.o").alias(order), "batch")
     return blocks.join(each, [file, order])
 
 
@@ -54,9 +60,16 @@ def context(source: str, target: str, most: int = CONTEXT) -> Column:
 def with_context(pairs: DataFrame, file: str, order: str, source: str, target: str, most: int = CONTEXT) -> DataFrame:
     """pairs with the last `most` accepted pairs before each (target has two CJK characters), and the prompt's block."""
     before = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    accepted = F.when(tx.han(target) >= 2, context(source, target))
-    found = F.collect_list(accepted).over(before)
-    return pairs.withColumn("context", F.slice(found, F.greatest(F.size(found) - most + 1, F.lit(1)), most)).withColumn("context_text", context_text(F.col("context")))
+    taken, one = tx.han(target) >= 2, F.array(context(source, target))
+    found = F.slice(one, 1, 0)
+    rows = pairs
+    # each step knows one pair more: the last accepted row's own, after those that it knew
+    for k in range(1, most + 1):
+        known = F.concat(found, one)
+        state = F.when(taken, F.slice(known, F.greatest(F.size(known) - k + 1, F.lit(1)), k))
+        rows = rows.withColumn("context", F.coalesce(F.last(state, ignorenulls=True).over(before), F.slice(one, 1, 0)))
+        found = F.col("context")
+    return rows.withColumn("context_text", context_text(F.col("context")))
 
 
 def context_text(pairs: Column) -> Column:

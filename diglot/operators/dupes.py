@@ -10,22 +10,39 @@ from diglot.functions import plain
 from diglot.functions import text as tx
 
 
+def shape(text: Column) -> Column:
+    """What `like` compares of a text, once for each row."""
+    parts = dict(text=text, key=tx.duplicate_key(text), core=tx.core(text), citation=tx.citation(text), figure=tx.figure(text), chinese=tx.chinese(text), han=tx.han(text))
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
+def like(x: Column, y: Column) -> Column:
+    """Whether two shapes are of copies, or of an original and its translation."""
+    kx, ky = x["key"], y["key"]
+    same = (x["text"] == y["text"]) | ((kx != "") & (kx == ky))
+    short = F.least(F.length(kx), F.length(ky))
+    marks = F.coalesce(x["citation"] == y["citation"], F.lit(False)) | F.coalesce(x["figure"] == y["figure"], F.lit(False))
+    begins = (short >= 18) & (F.left(kx, F.lit(18)) == F.left(ky, F.lit(18)))
+    fuzzy = marks | ((F.length(x["core"]) >= 8) & (x["core"] == y["core"])) | begins | ((short >= 16) & (kx.contains(ky) | ky.contains(kx)))
+    return (x["text"] != "") & (y["text"] != "") & (same | ((x["chinese"] != y["chinese"]) & fuzzy))
+
+
+def better(kept: Column, new: Column) -> Column:
+    """The text that stays of two shapes."""
+    by_length = F.when(F.length(new["text"]) > F.length(kept["text"]), new["text"]).otherwise(kept["text"])
+    return F.when(new["han"] > kept["han"] + 2, new["text"]).when(kept["han"] > new["han"] + 2, kept["text"]).otherwise(by_length)
+
+
 def alike(a: str, b: str) -> Column:
     """Whether two text columns are copies, or an original and its translation."""
-    x, y = F.col(a), F.col(b)
-    kx, ky, cx, cy = tx.duplicate_key(x), tx.duplicate_key(y), tx.core(x), tx.core(y)
-    same = (x == y) | ((kx != "") & (kx == ky))
-    cross = tx.chinese(x) != tx.chinese(y)
-    short = F.least(F.length(kx), F.length(ky))
-    fuzzy = F.coalesce(tx.citation(x) == tx.citation(y), F.lit(False)) | F.coalesce(tx.figure(x) == tx.figure(y), F.lit(False)) | ((F.length(cx) >= 8) & (cx == cy)) | ((short >= 18) & (F.left(kx, F.lit(18)) == F.left(ky, F.lit(18)))) | ((short >= 16) & (kx.contains(ky) | ky.contains(kx)))
-    return (x != "") & (y != "") & (same | (cross & fuzzy))
+    return like(shape(F.col(a)), shape(F.col(b)))
 
 
-def preferred(kept: str, new: str) -> Column:
-    """The text that stays of two."""
-    a, b = tx.han(kept), tx.han(new)
-    by_length = F.when(F.length(new) > F.length(kept), F.col(new)).otherwise(F.col(kept))
-    return F.when(b > a + 2, F.col(new)).when(a > b + 2, F.col(kept)).otherwise(by_length)
+def neighbours(blocks: DataFrame, file: str, order: str, text: str) -> DataFrame:
+    """blocks that have one after them in the file, with `alike` (whether the two are) and `better` (the text that stays)."""
+    along = Window.partitionBy(file).orderBy(order)
+    shaped = blocks.withColumn("x", shape(F.col(text)))
+    return shaped.withColumn("y", F.lead("x").over(along)).where("y IS NOT NULL").withColumn("alike", like(F.col("x"), F.col("y"))).withColumn("better", better(F.col("x"), F.col("y"))).drop("x", "y")
 
 
 def equal_runs(blocks: DataFrame, file: str, order: str, text: str) -> DataFrame:

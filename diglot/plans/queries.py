@@ -264,9 +264,7 @@ def exact_adjacent_dups(spark: SparkSession, sf: str) -> DataFrame:
     OR (length(ct) >= 8 AND ct = cu) OR (least(length(kt), length(ku)) >= 18 AND left(kt, 18) = left(ku, 18)) OR (least(length(kt), length(ku)) >= 16 AND (contains(kt, ku) OR contains(ku, kt))))))) AS alike,
     CASE WHEN {s_han('u')} > {s_han('t')} + 2 THEN u WHEN {s_han('t')} > {s_han('u')} + 2 THEN t WHEN length(u) > length(t) THEN u ELSE t END AS better FROM k""")
 def alike_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    along = Window.partitionBy("doc_id").orderBy("ord")
-    pairs = bilingual(spark, sf).withColumn("u", F.lead("t").over(along)).where("u IS NOT NULL")
-    return pairs.select("doc_id", F.col("ord").cast("long").alias("ord"), dupes.alike("t", "u").alias("alike"), dupes.preferred("t", "u").alias("better"))
+    return dupes.neighbours(bilingual(spark, sf), "doc_id", "ord", "t").select("doc_id", F.col("ord").cast("long").alias("ord"), "alike", "better")
 
 
 @query()
