@@ -118,23 +118,29 @@ def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
-def possible(lines: DataFrame, idents: DataFrame, halves: str = "halves") -> DataFrame:
-    """id, place, norm of the distinct lines that share a half key with another: all that can be one edit apart.
+def possible(lines: DataFrame, idents: DataFrame) -> DataFrame:
+    """id, place, norm, text of the distinct lines that share a half key with another: all that can be one edit apart.
 
-    A bit filter keeps the texts of other lines out of the shuffle.
+    id is (key, check, kind): kind 0 has the line itself as norm, kind 1 its words as characters, and the line as text. A bit
+    filter keeps the texts of other lines out of the shuffle.
     """
-    halves = idents.select("key", F.explode(halves).alias("half"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in enumerate(("halves", "word_halves"))])
+    halves = idents.select("key", F.explode(kinds).alias("k")).select("key", "k.kind", F.explode("k.keys").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
-    some = materialise(halves.join(shared, "half", "left_semi").select("key").distinct(), "line-keys")
-    texts = lines.where(in_filter(some)(F.col("key"))).join(some, "key", "left_semi")
-    first = texts.groupBy("key", "check").agg(F.min(F.struct(_place().alias("place"), "norm")).alias("s"))
-    return materialise(first.select(F.struct("key", "check").alias("id"), "s.place", "s.norm"), "line-halves")
+    wanted = halves.join(shared, "half", "left_semi").groupBy("key").agg(F.max(F.col("kind") == 0).alias("chars"), F.max(F.col("kind") == 1).alias("words"))
+    some = materialise(wanted, "line-keys")
+    texts = lines.where(in_filter(some)(F.col("key"))).join(some, "key")
+    first = texts.groupBy("key", "check").agg(F.min(F.struct(_place().alias("place"), "norm")).alias("s"), F.first("chars").alias("chars"), F.first("words").alias("words"))
+    plain = F.when(F.col("chars"), F.struct(F.lit(0).alias("kind"), F.col("s.norm").alias("norm"), F.lit(None).cast("string").alias("text")))
+    by_word = F.when(F.col("words"), F.struct(F.lit(1).alias("kind"), coded(words_of(F.col("s.norm"))).alias("norm"), F.col("s.norm").alias("text")))
+    each = first.select("key", "check", "s.place", F.explode(F.filter(F.array(plain, by_word), lambda x: x.isNotNull())).alias("x"))
+    return materialise(each.select(F.struct("key", "check", "x.kind").alias("id"), "place", "x.norm", "x.text"), "line-halves")
 
 
 def earliest_near(near: DataFrame) -> DataFrame:
-    """id, near (the earliest place within one edit, if before the text's own) for distinct texts: id, norm, place.
+    """id (key, check), near (the earliest place within one edit, if before the text's own) for the texts of `possible`.
 
-    The ids are (key, check) hashes of the texts. The distance to the text found is verified.
+    The distance to the text found is verified: of characters or of words, by the kind of the id.
     """
     n = F.length("norm")
     # coarse deletions: m is the longer length of the pair; a text of m - 1 characters lacks one in the block
@@ -156,35 +162,23 @@ def earliest_near(near: DataFrame) -> DataFrame:
     found = variants.join(groups, ["variant", "i"]).join(own, "variant").select("id", "place", F.when(F.col("i") > 0, F.least("first", F.coalesce("short_first", "first"))).otherwise(F.col("full_first")).alias("near"))
     first = found.where("near < place").groupBy("id").agg(F.min("near").alias("near"))
     # both texts of a pair are among those with a possible partner
-    other = near.select(F.col("place").alias("near"), F.col("norm").alias("near_norm"))
-    checked = first.join(near.select("id", "norm"), "id").join(other, "near")
-    return checked.where(F.levenshtein("norm", "near_norm", 1) >= 0).select("id", "near").distinct()
-
-
-def earliest_near_words(near: DataFrame) -> DataFrame:
-    """As earliest_near, for one edit of a word."""
-    found = earliest_near(near.select("id", "place", coded(words_of(F.col("norm"))).alias("norm")))
-    mine = found.join(near.select("id", words_of(F.col("norm")).alias("a")), "id")
-    both = mine.join(near.select(F.col("place").alias("near"), words_of(F.col("norm")).alias("b")), "near")
-    return both.where((F.size(F.array_except("a", "b")) <= 1) & (F.size(F.array_except("b", "a")) <= 1)).select("id", "near").distinct()
+    other = near.select(F.col("place").alias("near"), F.col("id.kind").alias("kind"), F.col("norm").alias("near_norm"), F.col("text").alias("near_text"))
+    checked = first.join(near.select("id", F.col("id.kind").alias("kind"), "norm", "text"), "id").join(other, ["near", "kind"])
+    a, b = words_of(F.col("text")), words_of(F.col("near_text"))
+    same_words = (F.size(F.array_except(a, b)) <= 1) & (F.size(F.array_except(b, a)) <= 1)
+    good = checked.where((F.levenshtein("norm", "near_norm", 1) >= 0) & ((F.col("kind") == 0) | same_words))
+    return good.groupBy(F.struct("id.key", "id.check").alias("id")).agg(F.min("near").alias("near"))
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False, least_words: int | None = None) -> DataFrame:
     """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
     lines = lines_of(docs, least_chars, every)
     ident = F.struct("key", "check")
-    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"))
-    halves = ["halves"]
-    if least_words is not None:
-        words = words_of(F.col("norm"))
-        rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), words.alias("words"))
-        rows = rows.select("key", "check", "place", "halves", F.when(F.size("words") >= least_words, word_halves(F.col("words"))).alias("word_halves"))
-        halves.append("word_halves")
-    texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in halves]), "line-ids")
+    words = words_of(F.col("norm"))
+    by_word = F.lit(None).cast("array<long>") if least_words is None else F.when(F.size(words) >= least_words, word_halves(words))
+    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), by_word.alias("word_halves"))
+    texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("halves", "word_halves")]), "line-ids")
     near = materialise(earliest_near(possible(lines, texts)), "line-near")
-    if least_words is not None:
-        by_word = materialise(earliest_near_words(possible(lines, texts, "word_halves")), "line-near-words")
-        near = near.unionByName(by_word).groupBy("id").agg(F.min("near").alias("near"))
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
     places = lines.select("doc_id", "line", ident.alias("id"))
     gone = places.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
