@@ -174,9 +174,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool
     """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
     lines = lines_of(docs, least_chars, every)
     ident = F.struct("key", "check")
-    words = words_of(F.col("norm"))
-    by_word = F.lit(None).cast("array<long>") if least_words is None else F.when(F.size(words) >= least_words, word_halves(words))
-    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), by_word.alias("word_halves"))
+    # a column of its own: inlined, the words would be cut again for each of their uses
+    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), words_of(F.col("norm")).alias("words"))
+    by_word = F.lit(None).cast("array<long>") if least_words is None else F.when(F.size("words") >= least_words, word_halves(F.col("words")))
+    rows = rows.select("key", "check", "place", "halves", by_word.alias("word_halves"))
     texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("halves", "word_halves")]), "line-ids")
     near = materialise(earliest_near(possible(lines, texts)), "line-near")
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
