@@ -11,11 +11,11 @@ document, so most of them end after a point or two.
 The signatures are banded; documents that share a band are candidates; candidates are verified by
 the exact overlap of their bags (sum of minima over sum of maxima). Texts with the same words are first
 reduced to one representative. Within a band all members are held against its least one. If members are then in
-different components, those of a band of up to GROUP members are held against each other; a larger band is
-split by a second band (then a third ...) that its members share, and each part is treated as a band was. So
-pairs grow with the members, not with their square. In a large band a link is found if it shares a further band
-with its like, or its end is the least one: at a similarity of 0.8 a pair shares just one of the 25 bands once
-in about 1,800 times.
+different components, those of a band of up to GROUP members are held against each other. The members of larger
+bands are joined by prefixes, which is exact: with all shingles in one order, the rarest first, two
+bags of the similarity share one of their first ones, and the first that they share leaves enough behind it in
+both. The shingles of a prefix are mostly a document's own, so few pairs are verified; those of one shingle are
+first held against its least document too. No link between documents that share a band is left out.
 
 Defined cases: words are cut at ASCII white space, A-Z lower-cased; a text with one to four words is
 one shingle; a text without words (null, empty) is in a class of its own and never a copy; repeated
@@ -26,11 +26,12 @@ like any other; other columns, whatever their names, aren't read; an empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diglot.llm import words
@@ -38,7 +39,7 @@ from diglot.llm.components import components
 from diglot.llm.member_filter import maybe_in
 from diglot.storage import materialise
 
-SHINGLE, BANDS, DEPTH, GROUP = 5, 25, 5, 128
+SHINGLE, BANDS, DEPTH, GROUP, CELLS = 5, 25, 5, 128, 1 << 20
 _U = np.uint64
 
 
@@ -157,41 +158,105 @@ def overlap(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
+def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bags as sets: row and element, a hash of a shingle and which of its occurrences it is."""
+    row, shingle, count = bags(words.split(column, lower=True))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(row, count), words.pair(np.repeat(shingle, count), nth.astype(_U))
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """doc_id, root, n (size of the bag), element and at (its place) for the first elements of each text, the rarest first.
+
+    How rare an element is is told by a table of fixed size, in which elements may share a cell: any order that
+    is the same for all texts is exact.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text", 1 << 20):
+                for i in range(0, part.num_rows, 1 << 15):
+                    yield part.slice(i, 1 << 15)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for part in parts(batches):
+            total += np.bincount((elements(part.column("text"))[1] % _U(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
+
+    counted = texts.select("text").mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(CELLS, np.int64)
+    rarity[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(np.minimum(rarity, (1 << 32) - 1).astype(np.uint32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            row, element = elements(part.column("text"))
+            rare = sent.value[element % _U(CELLS)]
+            order = np.lexsort((element, rare, row))
+            row, element, rare = row[order], element[order], rare[order]
+            n = np.bincount(row, minlength=part.num_rows)
+            at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            # an element alone in its cell has no like
+            first = (at <= n[row] - np.ceil(least * n[row] - 1e-6)) & (rare > 1)
+            row, element, at = row[first], element[first], at[first]
+            doc, root = (part.column(c).take(pa.array(row)) for c in ("doc_id", "root"))
+            yield pa.RecordBatch.from_arrays([doc, root, pa.array(n[row]), pa.array(element.view(np.int64)), pa.array(at)], names=["doc_id", "root", "n", "element", "at"])
+
+    return texts.select("doc_id", "root", "text").mapInArrow(run, "doc_id long, root long, n long, element long, at long")
+
+
 def links(docs: DataFrame, sketches: DataFrame, least: float = 0.8, most_pairs: int = GROUP) -> DataFrame:
-    """Verified links a < b between representatives. A group of more than most_pairs members is split, so pairs are no more than half as many for each member."""
+    """Verified links a < b between representatives, which have the components of all links that share a band. The members of bands of more than most_pairs are joined by their prefixes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     bounded = sketches.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     hubs = bounded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = materialise(bounded.join(hubs.select("key", "hub"), "key"), "members")
     size = member.groupBy("doc_id").agg(F.first("n_shingles").alias("n"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs whose sizes alone rule out the similarity are left out before their texts are read."""
         a, b = (size.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
         near = pairs.distinct().join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
         return materialise(overlaps(materialise(near.select("a", "b"), "pairs"), texts, least).select("a", "b"), "links")
 
-    found = verified(member.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
-    groups = member.select("key", F.col("key").alias("last"), "doc_id")
-    while True:
-        root = components(found).withColumnRenamed("node", "doc_id")
-        placed = groups.join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        open_ = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("key", "n")
-        left_over = materialise(placed.join(open_, "key").select("key", "last", "doc_id", "root", "n"), "open")
-        small = left_over.where(F.col("n") <= most_pairs)
-        a, b = small.alias("a"), small.alias("b")
-        cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")))
-        found = found.unionByName(verified(cross.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))))
-        large = left_over.where(F.col("n") > most_pairs)
-        if large.isEmpty():
-            return found
-        # a set of shared bands is reached in ascending order, so once
-        finer = large.join(sketches.select("doc_id", "bands"), "doc_id").select("key", "doc_id", "root", F.explode(F.filter("bands", lambda x: x > F.col("last"))).alias("last"))
-        finer = finer.select(F.xxhash64("key", "last").alias("key"), "last", "doc_id", "root")
-        first = finer.groupBy("key").agg(F.min(F.struct("doc_id", "root")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-        inner = materialise(finer.join(first, "key"), "finer")
-        found = found.unionByName(verified(inner.where("root <> hub.root").select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))))
-        groups = inner.select("key", "last", "doc_id")
+    found = verified(member.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), texts)
+    root = components(found).withColumnRenamed("node", "doc_id")
+    placed = member.select("key", "doc_id").join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("key", "n")
+    left_over = materialise(placed.join(open_, "key").select("key", "doc_id", "root", "n"), "open")
+    small = left_over.where(F.col("n") <= most_pairs)
+    a, b = small.alias("a"), small.alias("b")
+    cross = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")))
+    found = found.unionByName(verified(cross.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")), texts))
+    large = left_over.where(F.col("n") > most_pairs).select("doc_id", "root").distinct()
+    if large.isEmpty():
+        return found
+    some = maybe_in(large, "doc_id")
+    own = materialise(texts.where(some(F.col("doc_id"))).join(large, "doc_id"), "texts")
+    # sizes that allow the similarity are in one class or in two that follow each other
+    step = -math.log(min(least, 0.999)) * (1 + 1e-9)
+    first = materialise(prefixes(own, least).withColumn("class", F.floor(F.log("n") / step).cast("int")), "prefixes")
+
+    def enough(a: str, b: str) -> Column:
+        """Whether the elements from the shared one on allow the similarity."""
+        common = (F.col(f"{a}.n") + F.col(f"{b}.n")) * (least / (1 + least)) - 1e-6
+        return F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at")) >= common
+
+    heads = first.groupBy("element", "class").agg(F.min(F.struct("doc_id", "root", "n", "at")).alias("hub"))
+    near = first.alias("b").join(heads, ["element", "class"]).where((F.col("root") != F.col("hub.root")) & enough("hub", "b"))
+    found_first = verified(near.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")), own)
+    # the roots so far, and the new links between them
+    star = large.select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
+    root = components(found_first.unionByName(star)).withColumnRenamed("node", "doc_id")
+    first = materialise(first.drop("root").join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "prefixes")
+    first = first.withColumn("same", F.col("class"))
+    a, b = first.alias("a"), first.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).alias("b")
+    pair = (F.col("a.element") == F.col("b.element")) & (F.col("a.class") == F.col("b.class"))
+    pair &= F.when(F.col("a.same") == F.col("b.same"), F.col("a.root") < F.col("b.root")).otherwise(F.col("a.root") != F.col("b.root"))
+    cross = a.join(b, pair & enough("a", "b")).select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b"))
+    return found.unionByName(found_first).unionByName(verified(cross, own))
 
 
 def classes(docs: DataFrame, least: float = 0.8, most_pairs: int = GROUP) -> DataFrame:

@@ -213,6 +213,42 @@ def test_large_bands_are_split(spark):
     assert {x.doc_id: x.class_id for x in nd.classes(docs, most_pairs=4).collect()} == brute_classes(rows, 0.8)
 
 
+def one_family(spark, bands, copies):
+    """Texts that aren't copies but for some, as documents and as sketches that share all the bands."""
+    r = random.Random(11)
+    base = sentence(r, 40)
+    rows = [f"{base} {sentence(r, 40)}" for _ in range(30)]
+    rows += [f"{rows[k]} end" for k in copies]
+    # repeated shingles count, and a short text is one shingle
+    rows += [f"{'a b c ' * 40}{k}" for k in range(4)] + [f"{'a b c ' * 20}{k}" for k in range(4)] + ["x y", "x z"]
+    rows = list(enumerate(rows))
+    sketches = [(i, i, bag(t).total(), list(range(100, 100 + bands))) for i, t in rows]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(sketches, "doc_id long, exact long, n_shingles long, bands array<long>")
+
+
+def test_rounds_do_not_grow_with_shared_bands(spark, monkeypatch):
+    rows, docs, sketches = one_family(spark, 6, [3])
+    calls, overlaps = [], nd.overlaps
+    monkeypatch.setattr(nd, "overlaps", lambda pairs, *rest: calls.append(pairs.count()) or overlaps(pairs, *rest))
+    root = {r.node: r.root for r in cc.components(nd.links(docs, sketches, most_pairs=4)).collect()}
+    assert {i: root.get(i, i) for i, _ in rows} == brute_classes(rows, 0.8)
+    assert len(calls) <= 4 and sum(calls) <= 3 * len(rows)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_prefixes_meet_in_every_similar_pair(spark, least):
+    rows = [(i, t) for i, t in copy_rows() if bag(t)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, root long, text string").repartition(3)
+    at = {}
+    for r in nd.prefixes(docs, least).collect():
+        at.setdefault(r.doc_id, {})[r.element] = r.at
+        assert r.n == bag(dict(rows)[r.doc_id]).total()
+    for i, x in rows[60:]:
+        for j, y in rows[60:]:
+            if i < j and similar(bag(x), bag(y)) >= least:
+                assert at.get(i, {}).keys() & at.get(j, {}).keys()
+
+
 def test_classes_of_nothing_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nd.classes(docs).count() == 0 and nd.keep_one(docs).count() == 0
