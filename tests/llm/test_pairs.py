@@ -226,6 +226,14 @@ def one_family(spark, bands, copies):
     return rows, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(sketches, "doc_id long, exact long, n_shingles long, bands array<long>")
 
 
+def test_a_large_band_loses_no_link(spark):
+    """One band is all that the documents share, and the links don't end at its least one."""
+    rows, docs, sketches = one_family(spark, 1, [5, 9, 9, 20])
+    want = {i: k for i, k in brute_classes(rows, 0.8).items()}
+    root = {r.node: r.root for r in cc.components(nd.links(docs, sketches, most_pairs=4)).collect()}
+    assert {i: root.get(i, i) for i, _ in rows} == want and len(set(want.values())) == 34
+
+
 def test_rounds_do_not_grow_with_shared_bands(spark, monkeypatch):
     rows, docs, sketches = one_family(spark, 6, [3])
     calls, overlaps = [], nd.overlaps
