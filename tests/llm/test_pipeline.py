@@ -1,10 +1,11 @@
 """Each stage of the pipeline on its own input, and the queries of the subpackage on the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline as cp
-from diglot.llm import registry
+from diglot.llm import near_dups, registry
 from diglot.session import table
 from diglot.storage import materialise
 
@@ -54,3 +55,13 @@ def test_queries_run(spark, sf, name):
 def test_entry_lists_all():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+
+
+def test_near_duplicates_of_one_large_band(spark, monkeypatch):
+    """All documents share one band and no other; copies that aren't the band's least member go too."""
+    own = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(150)]
+    rows = list(enumerate([*own, own[40] + " end", own[90] + " end", own[90] + " close"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = near_dups.sketch
+    monkeypatch.setattr(near_dups, "sketch", lambda docs: sketch(docs).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()) == list(range(150))
