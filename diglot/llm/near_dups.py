@@ -19,8 +19,8 @@ first held against its least document too. No link between documents that share
 
 Defined cases: words are cut at ASCII white space, A-Z lower-cased; a text with one to four words is
 one shingle; a text without words (null, empty) is in a class of its own and never a copy; repeated
-rows with one doc_id are one document, also where their texts differ: such a document is banded by the text with
-the least hash, is linked by any of its texts, and stays or goes with all its rows; a very long text is one bag
+rows with one doc_id are one document, also where their texts differ: each of its texts is banded, it is
+linked by any of them, and it stays or goes with all its rows; a very long text is one bag
 like any other; other columns, whatever their names, aren't read; an empty table gives an empty result.
 """
 
@@ -213,12 +213,13 @@ def links(docs: DataFrame, sketches: DataFrame, least: float = 0.8, most_pairs:
     bounded = sketches.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     hubs = bounded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = materialise(bounded.join(hubs.select("key", "hub"), "key"), "members")
-    size = member.groupBy("doc_id").agg(F.first("n_shingles").alias("n"))
+    # a document of several texts has several sizes
+    size = member.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Pairs whose sizes alone rule out the similarity are left out before their texts are read."""
-        a, b = (size.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-        near = pairs.distinct().join(a, "a").join(b, "b").where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+        a, b = (size.select(F.col("doc_id").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in "ab")
+        near = pairs.distinct().join(a, "a").join(b, "b").where((F.col("high_a") >= least * F.col("low_b")) & (F.col("high_b") >= least * F.col("low_a")))
         return materialise(overlaps(materialise(near.select("a", "b"), "pairs"), texts, least).select("a", "b"), "links")
 
     found = verified(member.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), texts)
@@ -261,13 +262,16 @@ def links(docs: DataFrame, sketches: DataFrame, least: float = 0.8, most_pairs:
 
 def classes(docs: DataFrame, least: float = 0.8, most_pairs: int = GROUP) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), class_size and kept (the one that stays) for every document."""
-    rows = sketch(docs)
-    sketches = materialise(rows.groupBy("doc_id").agg(F.min(F.struct("exact", "n_shingles", "bands")).alias("s")).select("doc_id", "s.*"), "sketches")
+    # equal texts have equal sketches
+    sketches = materialise(sketch(docs).groupBy("doc_id", "exact").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sketches")
     same = sketches.groupBy("exact").agg(F.min("doc_id").alias("rep")).where("exact IS NOT NULL")
     member = materialise(sketches.select("doc_id", "exact").join(same, "exact", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "exact")
-    own = sketches.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    root = components(links(docs, own, least, most_pairs))
-    named = member.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    own = sketches.join(same.select("exact", F.col("rep").alias("doc_id")), ["exact", "doc_id"], "left_semi")
+    # the representatives of a document's texts are linked by it
+    least_rep = member.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    several = member.join(least_rep, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    root = components(links(docs, own, least, most_pairs).unionByName(several))
+    named = least_rep.withColumnRenamed("a", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     counted = named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     return named.join(counted, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 

@@ -264,6 +264,29 @@ def test_classes_of_nothing_and_repeated_rows(spark):
     assert sorted(map(tuple, nd.classes(twice).collect())) == [(1, 1, 2, True), (2, 1, 2, False)]
 
 
+@pytest.mark.parametrize("most_pairs", [2, 128])
+def test_every_text_of_a_repeated_id_is_linked(spark, most_pairs):
+    """Ids with texts of different sizes, some of them empty; brute force over the texts, then over the ids."""
+    r = random.Random(17)
+    base = sentence(r, 60)
+    own = [sentence(r, n) for n in (30, 200, 60, 90, 45, 120, 80, 25)] + [f"{base} {sentence(r, 30)}" for _ in range(8)]
+    rows = [(k, t) for k, t in enumerate(own)] + [(100 + k, t + " end") for k, t in enumerate(own)]
+    rows += [(50, own[0] + " tail"), (50, own[1] + " tail"), (51, None), (51, own[2] + " tail"), (52, own[3]), (52, own[4]), (52, own[4])]
+    rows += [(53, ""), (53, None), (101, own[9] + " more"), (110, own[5]), (111, sentence(r, 10))]
+    root = {k: k for k, _ in rows}
+    while True:
+        known = dict(root)
+        for i, t in rows:
+            for j, u in rows:
+                if i == j or similar(bag(t), bag(u)) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == known:
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nd.classes(docs, most_pairs=most_pairs).collect()
+    assert {x.doc_id: x.class_id for x in got} == root and len(got) == len(root)
+
+
 def test_bagminhash_is_unbiased():
     r, gaps = np.random.default_rng(0), []
     for t in range(40):
