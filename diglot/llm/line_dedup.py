@@ -20,10 +20,11 @@ Everything is a DataFrame operation on the JVM:
    an equal place differ in that character only; a text equal to a variant is one insertion away. So
    minima by key give each text the earliest within one edit: no pairs are formed, a group of any
    size is one row per text.
-5. The edit distance of each text and the earliest found is verified.
+5. The edit distance of each text and the earliest found is verified. If keys that are equal by chance led to
+   it, all that the text's variants meet are verified.
 
 The word step is the same on words: each word becomes one character, by a hash of 20 bits, so that a word's edit
-is one character's. Such pairs are verified on their words too.
+is one character's. Such pairs are verified on their words.
 
 Defined cases: null or empty texts have no lines; a null doc_id comes first; rows that share a doc_id
 are one sequence of documents in an undefined but single order (their lines get the same place, and an
@@ -103,6 +104,14 @@ def coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
+def a_word_apart(a: Column, b: Column) -> Column:
+    """Whether two arrays of words are equal but for one inserted, deleted or substituted word, or equal."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
+    longer, shorter = (F.size(a) >= F.size(b)).cast("int"), (F.size(a) <= F.size(b)).cast("int")
+    rest = F.slice(a, F.greatest(at + longer, F.lit(1)), F.size(a)) == F.slice(b, F.greatest(at + shorter, F.lit(1)), F.size(b))
+    return (at == 0) | rest
+
+
 def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
     """A test of 64-bit hashes that is true for all of keys.key and few others: 2**26 bits, a scalar subquery of 8 MB."""
     place = keys.select((F.pmod("key", F.lit(BITS)) + 1).alias("p"))
@@ -163,10 +172,19 @@ def earliest_near(near: DataFrame) -> DataFrame:
     first = found.where("near < place").groupBy("id").agg(F.min("near").alias("near"))
     # both texts of a pair are among those with a possible partner
     other = near.select(F.col("place").alias("near"), F.col("id.kind").alias("kind"), F.col("norm").alias("near_norm"), F.col("text").alias("near_text"))
-    checked = first.join(near.select("id", F.col("id.kind").alias("kind"), "norm", "text"), "id").join(other, ["near", "kind"])
-    a, b = words_of(F.col("text")), words_of(F.col("near_text"))
-    same_words = (F.size(F.array_except(a, b)) <= 1) & (F.size(F.array_except(b, a)) <= 1)
-    good = checked.where((F.levenshtein("norm", "near_norm", 1) >= 0) & ((F.col("kind") == 0) | same_words))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        checked = pairs.join(near.select("id", F.col("id.kind").alias("kind"), "norm", "text"), "id").join(other, ["near", "kind"])
+        good = F.when(F.col("kind") == 0, F.levenshtein("norm", "near_norm", 1) >= 0).otherwise(a_word_apart(words_of(F.col("text")), words_of(F.col("near_text"))))
+        return materialise(checked.select("id", "near", good.alias("good")), "line-near")
+
+    tried = verified(first)
+    good = tried.where("good")
+    missed = tried.groupBy("id").agg(F.max("good").alias("good")).where(~F.col("good")).select("id")
+    if not missed.isEmpty():
+        a, b = variants.join(missed, "id").alias("a"), variants.alias("b")
+        meet = (F.col("a.variant") == F.col("b.variant")) & ((F.col("a.i") == F.col("b.i")) | (F.least("a.i", "b.i") == 0)) & (F.col("b.place") < F.col("a.place"))
+        good = good.unionByName(verified(a.join(b, meet).select("a.id", F.col("b.place").alias("near")).distinct()).where("good"))
     return good.groupBy(F.struct("id.key", "id.check").alias("id")).agg(F.min("near").alias("near"))
 
 
@@ -179,7 +197,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool
     by_word = F.lit(None).cast("array<long>") if least_words is None else F.when(F.size("words") >= least_words, word_halves(F.col("words")))
     rows = rows.select("key", "check", "place", "halves", by_word.alias("word_halves"))
     texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("halves", "word_halves")]), "line-ids")
-    near = materialise(earliest_near(possible(lines, texts)), "line-near")
+    near = earliest_near(possible(lines, texts))
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))
     places = lines.select("doc_id", "line", ident.alias("id"))
     gone = places.join(firsts, "id").where(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))

@@ -135,6 +135,30 @@ def test_lines_a_word_apart_agree_with_brute_force(spark):
     assert set(got) == set(want) and any(abs(len(rows[i][1]) - len(rows[j][1])) > 5 for i, j in want.items())
 
 
+def test_a_false_first_partner_hides_no_true_one(spark, monkeypatch):
+    """Words share four codes, so most texts first meet one that isn't a word apart."""
+    r = random.Random(23)
+    base = [sentence(r, 12).split(" ") for _ in range(4)]
+    rows = []
+    for k in range(120):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(12)] = r.choice(VOCAB[:4])
+        if r.random() < 0.3:
+            del w[r.randrange(12)]
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(ld, "coded", lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit("abcd"), F.pmod(F.xxhash64(w), F.lit(4)).cast("int") + 1, F.lit(1))), ""))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id for x in ld.repeated_lines(docs, 1000, True, 10).collect()}
+    assert found == {i for i, t in rows if any(edits(t.split(" "), u.split(" ")) <= 1 for _, u in rows[:i])}
+
+
+@pytest.mark.parametrize("a, b, want", [("", "", True), ("a", "", True), ("a b", "", False), ("a b c", "a c", True), ("a c", "a b c", True), ("a b c", "a x c", True), ("a b c", "b a c", False), ("a a b", "a b", True), ("a b", "a b c d", False), ("a b c d", "a c d b", False), ("x a b", "a b", True), ("a b", "a b x", True)])
+def test_a_word_apart(spark, a, b, want):
+    one = spark.range(1).select(ld.a_word_apart(ld.words_of(F.lit(a)), ld.words_of(F.lit(b))).alias("x"))
+    assert one.first().x is want and (edits(a.split(), b.split()) <= 1) is want
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = ld.by_document(docs)._jdf.queryExecution().executedPlan().toString()
