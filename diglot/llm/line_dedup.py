@@ -56,9 +56,10 @@ def _h(*cols: Column) -> Column:
 
 def lines_of(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool = False) -> DataFrame:
     """doc_id, line (number from 0), norm and key of the lines that take part."""
-    takes_part = F.col("norm").rlike(r"[^\x20\x09-\x0D]") if every else F.length("norm") >= least_chars
+    # most lines begin with a word, which is told without a search
+    takes_part = (F.col("raw") >= "!") | F.col("raw").rlike(r"[^\x20\x09-\x0D]") if every else F.length("norm") >= least_chars
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text"), "\n", -1)).alias("line", "raw"))
-    norm = parts.select("doc_id", "line", F.lower(F.trim("raw")).alias("norm")).where(takes_part)
+    norm = parts.select("doc_id", "line", "raw", F.lower(F.trim("raw")).alias("norm")).where(takes_part)
     return norm.select("doc_id", "line", "norm", _h(F.col("norm")).alias("key"), F.hash("norm").alias("check"))
 
 
@@ -71,12 +72,11 @@ def _lengths(n: Column) -> Column:
     return F.array(n, n + 1)
 
 
-def half_keys(norm: Column) -> Column:
+def half_keys(norm: Column, n: Column) -> Column:
     """Hashes of the first and the last half, with the length of the longer of two texts one edit apart.
 
     A text of n characters is the longer one or as long (m = n), or the shorter one (m = n + 1).
     """
-    n = F.length(norm)
     keys = []
     for m in (n, n + 1):
         half = F.greatest(F.floor((m - 1) / 2).cast("int"), F.lit(1))
@@ -85,7 +85,12 @@ def half_keys(norm: Column) -> Column:
 
 
 def words_of(norm: Column) -> Column:
-    return F.array_remove(F.split(F.translate(norm, "\t\n\x0b\f\r", " " * 5), " ", -1), "")
+    # few texts have other white space than single spaces
+    cut = F.lit(False)
+    for c in "\t\n\x0b\f\r":
+        cut = cut | F.contains(norm, F.lit(c))
+    cut = cut | F.contains(norm, F.lit("  ")) | F.startswith(norm, F.lit(" ")) | F.endswith(norm, F.lit(" ")) | (norm == "")
+    return F.when(cut, F.array_remove(F.split(F.translate(norm, "\t\n\x0b\f\r", " " * 5), " ", -1), "")).otherwise(F.split(norm, " ", -1))
 
 
 def word_halves(words: Column) -> Column:
@@ -192,10 +197,10 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, every: bool
     """doc_id, line and the earlier (of_doc_id, of_line) for each line that goes. Texts move only for lines with a possible partner."""
     lines = lines_of(docs, least_chars, every)
     ident = F.struct("key", "check")
-    # a column of its own: inlined, the words would be cut again for each of their uses
-    rows = lines.select("key", "check", _place().alias("place"), F.when(F.length("norm") >= least_chars, half_keys(F.col("norm"))).alias("halves"), words_of(F.col("norm")).alias("words"))
+    # columns of their own: inlined, the words would be cut and the characters counted again for each of their uses
+    rows = lines.select("key", "check", _place().alias("place"), "norm", F.length("norm").alias("n"), words_of(F.col("norm")).alias("words"))
     by_word = F.lit(None).cast("array<long>") if least_words is None else F.when(F.size("words") >= least_words, word_halves(F.col("words")))
-    rows = rows.select("key", "check", "place", "halves", by_word.alias("word_halves"))
+    rows = rows.select("key", "check", "place", F.when(F.col("n") >= least_chars, half_keys(F.col("norm"), F.col("n"))).alias("halves"), by_word.alias("word_halves"))
     texts = materialise(rows.groupBy("key", "check").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("halves", "word_halves")]), "line-ids")
     near = earliest_near(possible(lines, texts))
     firsts = texts.select(ident.alias("id"), "place", "n").join(near, "id", "left").where("n > 1 OR near IS NOT NULL").select("id", F.coalesce("near", "place").alias("first"))

@@ -159,6 +159,14 @@ def test_a_word_apart(spark, a, b, want):
     assert one.first().x is want and (edits(a.split(), b.split()) <= 1) is want
 
 
+def test_words_and_lines_are_cut_at_any_white_space(spark):
+    texts = ["", " ", "a", "a b", " a", "a ", "a  b", "\ta", "a\t", "a\tb c", "a\x0bb", "a\fb", "a\rb\r", "\x1fa\u00a0b", "\u3000", " \t\x0b\f\r ", "!", "\x00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.w for r in docs.select("doc_id", ld.words_of(F.col("text")).alias("w")).collect()}
+    assert got == {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in enumerate(texts)}
+    assert {r.doc_id for r in ld.lines_of(docs, every=True).collect()} == {i for i, w in got.items() if w}
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = ld.by_document(docs)._jdf.queryExecution().executedPlan().toString()
