@@ -92,8 +92,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
         end = np.array([end_id], enc.dtype).tobytes()
         width = np.dtype(enc.dtype).itemsize
         for batch in batches:
-            for rows in words.slices(batch, text_col, 4 << 20):
-                ids = [x + end for x in enc.encode(rows.column(text_col).to_pylist())]
+            for rows in words.slices(batch, text_col, 16 << 20):
+                ids = [x + end for x in enc.encode(rows.column(text_col))]
                 places = [curve_places([np.frombuffer(x, enc.dtype) for x in ids[i : i + 256]]) for i in range(0, len(ids), 256)]
                 yield pa.RecordBatch.from_arrays([rows.column(id_col), pa.array(np.concatenate(places), pa.int64()), pa.array([width] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "curve", "width", "ids"])
 

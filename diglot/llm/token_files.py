@@ -166,9 +166,9 @@ def write_shards(docs: DataFrame, where: str, tokenizer: str, end_id: int = 2, i
         end = np.array([end_id], enc.dtype).tobytes()
         shard, path = None, f"{where}/shard-{part:07d}.zst"
         for batch in batches:
-            for rows in words.slices(batch, text_col, 4 << 20):
+            for rows in words.slices(batch, text_col, 16 << 20):
                 shard = shard or ShardWriter(path, width, frame_bytes)
-                for i, ids in zip(rows.column(id_col).to_pylist(), enc.encode(rows.column(text_col).to_pylist()), strict=True):
+                for i, ids in zip(rows.column(id_col).to_pylist(), enc.encode(rows.column(text_col)), strict=True):
                     shard.add(i, ids + end)
         if shard:
             row = shard.close() | {"path": path, "shard": part}

@@ -4,6 +4,9 @@ A BPE tokenizer cuts a text into words before it merges. Where a cut is certain
 between two visible characters, or a newline between them) the parts are encoded once and their ids
 joined, which gives the ids of the whole text. Texts in which a cut isn't certain, and tokenizer
 files of an unknown kind, are encoded whole. Strings of special tokens in a text are ordinary text.
+
+Texts are cut and their distinct pieces found as Arrow columns; a Python string is made of distinct pieces only,
+and the ids of all texts are gathered at once.
 """
 
 from __future__ import annotations
@@ -13,19 +16,24 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_RUN = re.compile(r"\s\s|[^\S \n]")
+# the white space of Python's \s other than space and newline, and runs of white space, also at the ends
+_OTHER = r"\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_RUN = rf"[{_OTHER}]|[ \n][ \n]|^[ \n]|[ \n]$"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = "!#$%&*+,-./:;<=>?@^_|~"
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-class _Pieces(dict):
-    """Piece of text -> bytes of its ids."""
-
-
 class Encoder:
-    """Encodes texts with the tokenizer in a file; most_cached bounds the pieces kept (about 200 bytes each)."""
+    """Encodes texts with the tokenizer in a file; most_cached bounds the pieces kept (about 200 bytes each).
+
+    A piece is a word of a text. With a tokenizer of bytes its first character tells what is before it: \\r
+    nothing, \\n a newline, else a space. Two tables hold the pieces met of late and those met before; when the
+    first has most_cached / 2 it takes the place of the second. The pieces of one call are held beyond that.
+    """
 
     def __init__(self, path: str, most_cached: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,7 +46,9 @@ class Encoder:
         self.vocab = self._tok.get_vocab_size()
         self.dtype = "<u2" if self.vocab <= 1 << 16 else "<u4"
         self.most_cached = most_cached
-        self._lead, self._bare = _Pieces({"": b""}), _Pieces({"": b""})
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {}
         self._newline = self._ids(["\n"])[0]
         self._mark = {"byte": "\n", "word": "|"}.get(self.kind)
         known = np.frombuffer(self._ids([self._mark])[0], self.dtype) if self._mark else []
@@ -76,72 +86,113 @@ class Encoder:
             out += [raw[a + size : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return out
 
-    def _learn(self, cache: _Pieces, parts: set[str], lead: str) -> None:
-        """Adds the parts that the cache lacks. A word with trailing marks is its letters, then the marks."""
-        missing = [p for p in parts if p not in cache]
-        if not missing:
-            return
-        cut, whole, tails = [], set(), set()
-        for p in missing:
+    def _known(self, piece: str) -> bytes | None:
+        found = self._new.get(piece)
+        return self._old.get(piece) if found is None else found
+
+    def _parts(self, parts: list[str], lead: str, mark: str) -> dict[str, bytes]:
+        """The ids of parts, and of the stems that they needed. A word with trailing marks is its letters, then the marks.
+
+        mark is what a part has before it as a piece.
+        """
+        cut, whole, stems = [], set(), {}
+        for p in parts:
             stem = p.rstrip(_TAIL)
             if stem and len(stem) < len(p) and stem.isalpha():
                 cut.append((p, stem))
-                tails.add(p[len(stem) :])
-                if stem not in cache:
-                    whole.add(stem)
+                if stem not in stems:
+                    stems[stem] = self._known(mark + stem)
+                    if stems[stem] is None:
+                        whole.add(stem)
             else:
                 whole.add(p)
         plain = [p for p in whole if p.isalpha()]
         other = [p for p in whole if not p.isalpha()]
-        cache.update(zip(plain, self._words(plain, lead), strict=True))
-        cache.update(zip(other, self._ids([lead + p for p in other]), strict=True))
+        out = dict(zip(plain, self._words(plain, lead), strict=True))
+        out.update(zip(other, self._ids([lead + p for p in other]), strict=True))
         if cut:
-            unknown = [t for t in tails if t not in self._bare]
-            self._bare.update(zip(unknown, self._ids(unknown), strict=True))
+            if len(self._tails) > 1 << 16:
+                self._tails.clear()
+            unknown = list({p[len(stem) :] for p, stem in cut} - self._tails.keys())
+            self._tails.update(zip(unknown, self._ids(unknown), strict=True))
             for p, stem in cut:
-                cache[p] = cache[stem] + self._bare[p[len(stem) :]]
+                out[p] = (out[stem] if stem in out else stems[stem]) + self._tails[p[len(stem) :]]
+        return out
 
-    def _trim(self, cache: _Pieces, used: set[str]) -> None:
-        if len(cache) > self.most_cached:
-            kept = {p: cache[p] for p in list(used)[: self.most_cached // 2]}
-            cache.clear()
-            cache.update(kept)
-            cache[""] = b""
+    def _learn(self, pieces: list[str]) -> None:
+        """Adds pieces that neither table has."""
+        if self.kind == "word":
+            self._new.update(self._parts(pieces, "", ""))
+            return
+        lead = [p for p in pieces if p[:1] not in ("\r", "\n")]
+        self._new.update(self._parts(lead, " ", ""))
+        bare = {p[1:] for p in pieces if p[:1] in ("\r", "\n")}
+        found = {p: self._known("\r" + p) for p in bare}
+        learnt = self._parts([p for p, ids in found.items() if ids is None], "", "\r")
+        self._new.update(("\r" + p, ids) for p, ids in learnt.items())
+        for p in pieces:
+            if p[:1] == "\n":
+                self._new[p] = self._newline + (found.get(p[1:]) or learnt.get(p[1:], b""))
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        out = list(map(self._new.get, pieces))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        older = list(map(self._old.get, [pieces[k] for k in missing]))
+        self._new.update((pieces[k], ids) for k, ids in zip(missing, older, strict=True) if ids is not None)
+        self._learn([pieces[k] for k, ids in zip(missing, older, strict=True) if ids is None])
+        for k in missing:
+            out[k] = self._new[pieces[k]]
+        if len(self._new) > self.most_cached // 2:
+            self._old, self._new = self._new, {}
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _pieces(self, texts: pa.LargeStringArray) -> pa.Array:
+        """The pieces of each text, as lists."""
+        if self.kind == "word":
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        run = pc.match_substring_regex(texts, _RUN)
+        marked = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\r", texts, "")))
+        plain = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        if not pc.any(run).as_py():
+            return plain
+        special = []
+        for t in texts.filter(run).to_pylist():
+            parts = _CUT.split(t)
+            special.append(["\r" + parts[0], *parts[1:]])
+        place = np.cumsum(run.to_numpy(zero_copy_only=False)) - 1
+        which = np.where(run.to_numpy(zero_copy_only=False), place + len(texts), np.arange(len(texts)))
+        return pa.concat_arrays([plain, pa.array(special, plain.type)]).take(pa.array(which))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; a null is an empty text."""
         if self.kind == "whole":
-            return self._ids([t or "" for t in texts])
-        lines: list[list[list[str]] | None] = []
-        lead: set[str] = set()
-        bare: set[str] = set()
-        for t in texts:
-            t = t or ""
-            if self.kind == "word":
-                parts = t.replace("\n", " ").split(" ")
-                bare.update(parts)
-                lines.append([parts])
-                continue
-            if _RUN.search(t) or t[:1].isspace() or t[-1:].isspace():
-                parts = _CUT.split(t)
-                found = [parts]
-                bare.add(parts[0])
-                lead.update(parts[1:])
-            else:
-                found = [line.split(" ") for line in t.split("\n")]
-                for parts in found:
-                    bare.add(parts[0])
-                    lead.update(parts)
-            lines.append(found)
-        self._learn(self._bare, bare, "")
-        self._learn(self._lead, lead, " ")
-        get, first = self._lead.__getitem__, self._bare.__getitem__
-        if self.kind == "word":
-            out = [b"".join(map(first, x[0])) for x in lines]
-        else:
-            out = [self._newline.join([first(p[0]) + b"".join(map(get, p[1:])) for p in x]) for x in lines]
-        self._trim(self._bare, bare)
-        self._trim(self._lead, lead)
+            return self._ids([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(column):
+            return []
+        lists = self._pieces(pc.fill_null(column.cast(pa.large_string()), ""))
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        words = lists.flatten()
+        del lists
+        coded = words.dictionary_encode()
+        del words
+        ids = self._lookup(coded.dictionary.to_pylist())
+        size = np.dtype(self.dtype).itemsize
+        blob = np.frombuffer(b"".join(ids), self.dtype)
+        many = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        first = np.cumsum(many) - many
+        at = coded.indices.to_numpy()
+        out: list[bytes] = []
+        # some texts at a time: their places take 8 bytes an id
+        starts = np.unique(np.searchsorted(edges, np.arange(0, edges[-1], 1 << 17), "right") - 1).tolist()
+        for i, j in zip(starts, [*starts[1:], len(column)], strict=True):
+            some = at[edges[i] : edges[j]]
+            n = many[some]
+            ends = np.cumsum(n)
+            flat = blob[np.repeat(first[some] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+            cuts = (np.concatenate([[0], ends])[edges[i : j + 1] - edges[i]] * size).tolist()
+            out += [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
 
@@ -151,3 +202,8 @@ def encoder(path: str, most_cached: int = 600_000) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(path, most_cached)
     return _encoders[key]
+
+
+def release() -> None:
+    """Gives back what encoders hold in this Python worker, which other operators may use next."""
+    _encoders.clear()

@@ -58,6 +58,19 @@ def docs(spark, rows=DOCS):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_made_a_string_once_a_call(name, monkeypatch):
+    """Texts of any size, also more words than are gathered at once; only distinct words leave Arrow."""
+    enc, seen = Encoder(public_tokenizer(name)), []
+    texts = ["one two\nthree two", None, "", "lone " * 200_000 + "end", "two\n" * 150_000 + "end", "last", " a  b\u3000c\x85d "]
+    whole = [x.ids for x in enc._tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    lookup = enc._lookup
+    monkeypatch.setattr(enc, "_lookup", lambda pieces: seen.extend(pieces) or lookup(pieces))
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(pa.array(texts))] == whole
+    assert len(seen) == len(set(seen)) < 30
+    assert enc.encode([]) == [] and enc.encode(pa.array([None], pa.string())) == [b""]
+
+
 def ids_of(name, end):
     enc = Encoder(public_tokenizer(name))
     return lambda t: [*np.frombuffer(enc.encode([t])[0], enc.dtype).tolist(), end]
