@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diglot.llm import words
+from diglot.llm import tokens, words
 from diglot.storage import materialise
 
 LADDERS: dict[str, list[float]] = {
@@ -104,11 +104,15 @@ def with_features(docs: DataFrame, name: str, text_col: str = "text") -> DataFra
     """docs and a struct column `name` of FEATURES; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an idle worker keeps its memory for a minute, while the JVM needs it for the lines
+        tokens.release()
         for batch in batches:
             for rows in words.slices(batch, text_col):
                 m = measure(rows.column(text_col))
                 fields = [pa.array(m[f.name], pa.int64() if f.dataType == T.LongType() else pa.float64()) for f in FEATURES]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.StructArray.from_arrays(fields, names=FEATURES.names)], names=[*rows.schema.names, name])
+            batch = rows = m = fields = None
+            tokens.trim()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, FEATURES)]))
 

@@ -11,6 +11,7 @@ and the ids of all texts are gathered at once.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -206,4 +207,14 @@ def encoder(path: str, most_cached: int = 600_000) -> Encoder:
 
 def release() -> None:
     """Gives back what encoders hold in this Python worker, which other operators may use next."""
-    _encoders.clear()
+    if _encoders:
+        _encoders.clear()
+        trim()
+
+
+def trim() -> None:
+    """Hands memory that is free in this process back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)

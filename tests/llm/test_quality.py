@@ -6,9 +6,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diglot.llm import quality_model as qm
 from diglot.llm import quality_rules as qr
+from diglot.llm import tokens
+from diglot.llm.registry import public_tokenizer
 
 from .test_words_tokens import odd_texts
 
@@ -116,3 +119,19 @@ def test_classifier_without_two_classes(spark):
     docs, labels = tables(spark, rows(20))
     assert {round(r.score, 6) for r in qm.score(docs, labels.limit(0)).collect()} == {0.5}
     assert qm.score(docs.limit(0), labels).count() == 0
+
+
+def test_rules_leave_no_encoder_in_a_worker():
+    """A worker that packed texts before, and serves the rules now, holds no tables of pieces."""
+
+    class Docs:
+        schema = T.StructType().add("text", "string")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    tokens.encoder(public_tokenizer("word_bpe_49k.json")).encode(["some words"])
+    assert tokens._encoders
+    batches = [pa.record_batch({"text": ["one two", None]}), pa.record_batch({"text": pa.array([], pa.string())})]
+    out = list(qr.with_features(Docs(), "f")(iter(batches)))
+    assert [b.column("f").field("n_words").to_pylist() for b in out] == [[2, 0]] and not tokens._encoders
