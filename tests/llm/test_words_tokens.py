@@ -51,6 +51,21 @@ def test_pieces_give_the_ids_of_the_whole(name):
     assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts[::-1])] == want[::-1]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_that_become_marks_and_words_met_before(name, monkeypatch):
+    """Some letters' normal forms end in a mark, which joins the marks after it; known words leave no Python strings."""
+    enc, letters = Encoder(public_tokenizer(name), most_cached=300), [chr(c) for c in [*range(0x3400), *range(0xA000, 0xA100), *range(0xF900, 0x10600)] if chr(c).isalpha()]
+    texts = [f"{c} {c}. a{c}b, A{c}\n{c}{c}" for c in letters]
+    assert enc.encode(texts) == enc._ids(texts)
+    again, learnt = Encoder(public_tokenizer(name)), []
+    learn = again._learn
+    monkeypatch.setattr(again, "_learn", lambda keys: learnt.extend(keys.to_pylist()) or learn(keys))
+    first = again.encode(["one two, \x85three. two"])
+    assert again.encode(["two. one!! \x85three. two,"]) == again._ids(["two. one!! \x85three. two,"]) and first == again._ids(["one two, \x85three. two"])
+    # of the second text, its first word and a word after a space that was the first of its text
+    assert len(learnt) - len(set(learnt)) == 0 and len(learnt) <= 5
+
+
 DOCS = [(5, "five five"), (2, None), (9, "same"), (1, "one two three " * 400), (5, "five again"), (7, ""), (None, "no id")]
 
 
