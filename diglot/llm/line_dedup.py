@@ -36,7 +36,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diglot.storage import materialise
@@ -121,13 +121,18 @@ def in_filter(keys: DataFrame) -> Callable[[Column], Column]:
     """A test of 64-bit hashes that is true for all of keys.key and few others: 2**26 bits, a scalar subquery of 8 MB."""
     place = keys.select((F.pmod("key", F.lit(BITS)) + 1).alias("p"))
     maps = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    # as numbers, which are read where they are: of an array of binaries each test would copy a whole map
+    eight = F.transform(F.sequence(F.lit(0), F.lit(MAP // 64 - 1)), lambda i: F.conv(F.hex(F.substring("bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = maps.select("b", eight.alias("numbers"))
     every = keys.sparkSession.range(1, BITS // MAP + 1, 1, 1).join(F.broadcast(maps), F.col("id") == F.col("b"), "left")
-    whole = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(b""))))), lambda x: x["col2"])).scalar()
+    numbers = F.coalesce("numbers", F.array_repeat(F.lit(0).cast("long"), MAP // 64))
+    whole = every.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", numbers.alias("numbers")))), lambda x: x["numbers"]))).scalar()
 
     def test(key: Column) -> Column:
-        p = F.pmod(key, F.lit(BITS))
-        byte = F.substring(F.element_at(whole, (F.floor(p / MAP) + 1).cast("int")), (F.floor(p % MAP / 8) + 1).cast("int"), F.lit(1))
-        return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (p % 8).cast("int")) == 1, F.lit(False))
+        p = F.pmod(key, F.lit(BITS)).cast("int")
+        # the first byte of a number is its highest
+        bit = p.bitwiseXOR(F.lit(56)).bitwiseAND(F.lit(63))
+        return F.coalesce(F.getbit(F.get(whole, F.shiftright(p, 6)), bit) == 1, F.lit(False))
 
     return test
 
@@ -140,10 +145,13 @@ def possible(lines: DataFrame, idents: DataFrame) -> DataFrame:
     """
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("keys")) for k, c in enumerate(("halves", "word_halves"))])
     halves = idents.select("key", F.explode(kinds).alias("k")).select("key", "k.kind", F.explode("k.keys").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("half")
-    wanted = halves.join(shared, "half", "left_semi").groupBy("key").agg(F.max(F.col("kind") == 0).alias("chars"), F.max(F.col("kind") == 1).alias("words"))
+    same = Window.partitionBy("half")
+    shared = halves.select("key", "kind", F.min("key").over(same).alias("a"), F.max("key").over(same).alias("b")).where("a <> b")
+    wanted = shared.groupBy("key").agg(F.max(F.col("kind") == 0).alias("chars"), F.max(F.col("kind") == 1).alias("words"))
     some = materialise(wanted, "line-keys")
-    texts = lines.where(in_filter(some)(F.col("key"))).join(some, "key")
+    # the filter uses the key three times: taken from an array it isn't hashed anew, with the line trimmed and lower-cased, for each
+    keyed = lines.select("*", F.explode(F.array("key")).alias("once"))
+    texts = keyed.where(in_filter(some)(F.col("once"))).drop("once").join(some, "key")
     first = texts.groupBy("key", "check").agg(F.min(F.struct(_place().alias("place"), "norm")).alias("s"), F.first("chars").alias("chars"), F.first("words").alias("words"))
     plain = F.when(F.col("chars"), F.struct(F.lit(0).alias("kind"), F.col("s.norm").alias("norm"), F.lit(None).cast("string").alias("text")))
     by_word = F.when(F.col("words"), F.struct(F.lit(1).alias("kind"), coded(words_of(F.col("s.norm"))).alias("norm"), F.col("s.norm").alias("text")))

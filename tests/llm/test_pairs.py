@@ -465,3 +465,22 @@ def test_pieces_leave_no_match_out():
     for n in range(1, 80):
         p = dc.pieces(n)
         assert len(p) == dc.bound(n) + 1 and p[0][0] == 0 and p[-1][1] == n and all(b > a for a, b in p)
+
+
+def test_half_keys_are_shuffled_once_and_the_filter_reads_numbers(spark, monkeypatch):
+    plans, write = {}, ld.materialise
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(ld, "materialise", kept)
+    rows = [(i, f"line number {i} of a few that are all alike\nand one of all") for i in range(40)]
+    assert ld.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 10, every=True, least_words=10).count() == 39 + 39
+    assert plans["line-keys"].count("Exchange hashpartitioning(half") == 1 and "conv(" not in plans["line-halves"].split("Subquery")[0]
+    keys = [0, 1, -1, 7, 8, 63, 64, 32767, 32768, (1 << 26) - 1, 1 << 26, 5 << 40, -(1 << 63), (1 << 63) - 1]
+    near = sorted({k + d for k in keys for d in range(-70, 71) if -(1 << 63) <= k + d < 1 << 63})
+    test = ld.in_filter(spark.createDataFrame([(k,) for k in keys], "key long"))
+    got = spark.createDataFrame([(k,) for k in [*near, None]], "key long").select("key", test(F.col("key")).alias("hit")).collect()
+    bits = {k % (1 << 26) for k in keys}
+    assert all(r.hit == (r.key is not None and r.key % (1 << 26) in bits) for r in got)
