@@ -177,6 +177,13 @@ def test_cached_replies_are_not_asked_again(spark):
     assert tr.accepted(again).count() == 30 and again.where(F.col("translation").startswith("译文：")).count() == 30
 
 
+def test_a_translation_keeps_its_last_quote(spark):
+    blocks = spark.createDataFrame([("f", i, t, t) for i, t in enumerate(['Of thndes inre token = "abc"', "Other text"])], "file string, n int, text string, visible string")
+    done, _ = tr.translate(blocks, Echo(), tasks=2)
+    assert {r.n: r.translation for r in done.collect()} == {0: '译文：Of thndes inre token = "', 1: "译文：Other text"}
+    assert tr.translator_items(Echo(), "", ['Of thndes inre token = "abc"', "Other text"]) == ['译文：Of thndes inre token = "', "译文：Other text"]
+
+
 class Recorder(Chat):
     """Numbers its replies and keeps what it was asked in the reply."""
 

@@ -34,3 +34,10 @@ def test_items(spark, raw, expect, want):
 def test_single(spark):
     df = spark.createDataFrame([(' "你好\n 世界" ',), (None,)], "r string")
     assert [r.x for r in df.select(reply.single("r").alias("x")).collect()] == ["你好 世界", None]
+
+
+def test_a_lone_quote_stays(spark):
+    df = spark.createDataFrame([('1. 译文：token = "\n2. “引文”\n3. "甲" 乙',)], "r string")
+    want = {1: '译文：token = "', 2: "引文", 3: '"甲" 乙'}
+    assert df.select(reply.items("r", F.lit(3), reply.unwrapped).alias("x")).first().x == want
+    assert plain.reply_items(df.first().r, 3, plain.unwrapped) == want
