@@ -77,7 +77,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).withColumn("n", tx.norm("line")).withColumn("skipped", tx.skipped("line"))
+    """Lines normalised before they are rows of their own, so that each is normalised once, and whether they are skipped."""
+    normal = F.transform(F.split("text", "\n", -1), tx.norm)
+    found = table(spark, sf, "documents").select("doc_id", "lang", "source", F.posexplode(normal).alias("pos", "n"))
+    return found.withColumn("skipped", tx.skipped_plain(F.col("n")))
 
 
 def bilingual(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,9 +248,8 @@ def zh_follow(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc_id, ord, t AS text FROM f WHERE NOT (follows AND ((cn = 0 AND en >= 8) OR (cn > 0 AND en >= 20 AND cn < 0.25 * (cn + en))))""")
 def derive_target(spark: SparkSession, sf: str) -> DataFrame:
     rows = bilingual(spark, sf).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("t").alias("text"), F.lit(0).alias("parent"), F.col("ord").alias("sib"), F.lit("p").alias("tag"))
-    cn, en = tx.han("text"), tx.roman("text")
-    source = ((cn == 0) & (en >= 8)) | ((cn > 0) & (en >= 20) & (cn < 0.25 * (cn + en)))
-    return rows.withColumn("gone", source & ht.followed(rows, "doc_id")).where(~F.col("gone")).select("doc_id", "ord", "text")
+    counted = rows.withColumn("source", tx.source_only("text"))
+    return counted.withColumn("gone", F.col("source") & ht.followed(counted, "doc_id")).where(~F.col("gone")).select("doc_id", "ord", "text")
 
 
 @query(f"""WITH {S_LINES}, l AS (SELECT *, coalesce(lag(line) OVER o <> line, true) AS fresh FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),

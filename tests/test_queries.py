@@ -68,3 +68,16 @@ def test_entry(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.columns == ["lang", "n_lines", "n_eligible", "n_tokens", "n_letters"] and df.count() == 4
+
+
+@pytest.mark.parametrize("name", ["zh_follow", "duplicate_keys", "pack_batches", "alike_neighbours", "derive_target", "batch_prompts", "first_n_blocks", "dup_runs"])
+def test_lines_are_normalised_once(spark, sf, name):
+    assert plan(registry.queries()[name](spark, sf)).count("\u2018\u2019\u201c\u201d") == 1
+
+
+def test_what_windows_and_batches_move(spark, sf):
+    assert "Join" not in plan(registry.queries()["pack_batches"](spark, sf))
+    runs = plan(registry.queries()["dup_runs"](spark, sf))
+    assert "InPandas" not in runs and runs.count("MapInArrow") == 1
+    move = [x for x in plan(registry.queries()["zh_follow"](spark, sf)).split("\n") if "Window [" in x]
+    assert len(move) == 1 and "lead(" in move[0] and "regexp" not in move[0]
