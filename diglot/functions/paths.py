@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from diglot.functions.text import column
+from diglot.functions.text import bound, column
 
 SHORT = r"(?i)(references|bibliography|index|(end|foot)?notes|toc|nav|contents)\.(x?html?)$"
 HTML = r"(?i)\.(xhtml|html|htm)$"
@@ -29,21 +29,30 @@ def _fold(parts: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.when(F.size(acc) > 0, F.element_at(acc, -1))
-        up = (x == "..") & last.isNotNull() & (last != "..")
-        return F.when(up, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when((x == ".") | (x == ""), acc).otherwise(F.concat(acc, F.array(x)))
+        stays = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) == "..")
+        more = F.concat(acc, F.array(x))
+        return F.when((x == ".") | (x == ""), acc).when(x != "..", more).when(stays, more).otherwise(F.slice(acc, F.lit(1), F.size(acc) - 1))
 
     return F.aggregate(parts, empty, step)
 
 
 def normal(c: Column | str) -> Column:
-    """A POSIX path in normal form; an empty path stays empty, '.' is kept for the current directory."""
-    c = slashes(c)
-    rooted = c.startswith("/")
-    kept = _fold(F.split(c, "/"))
-    kept = F.when(rooted, F.filter(kept, lambda x: x != "..")).otherwise(kept)
-    joined = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))
-    return F.when(c == "", "").when(joined == "", ".").otherwise(joined)
+    """A POSIX path in normal form; an empty path stays empty, '.' is kept for the current directory.
+
+    Paths whose segments are all names are so already.
+    """
+
+    def of(c: Column) -> Column:
+        rooted = c.startswith("/")
+
+        def joined(kept: Column) -> Column:
+            kept = F.when(rooted, F.filter(kept, lambda x: x != "..")).otherwise(kept)
+            return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))
+
+        names = ~c.rlike("(?:^|/)[.]{0,2}(?:/|$)")
+        return F.when((c == "") | names, c).otherwise(bound(bound(_fold(F.split(c, "/")), joined), lambda j: F.when(j == "", ".").otherwise(j)))
+
+    return bound(slashes(c), of)
 
 
 def href(c: Column | str) -> Column:
@@ -53,19 +62,26 @@ def href(c: Column | str) -> Column:
 
 def resolve(package: Column | str, ref: Column | str) -> Column:
     """The archive path of a reference in a package document."""
-    ref, base = href(ref), dirname(package)
-    full = F.when(base == "", ref).otherwise(normal(F.concat(base, F.lit("/"), ref)))
-    return F.when(ref == "", "").when(ref.startswith("/"), F.ltrim(ref, F.lit("/"))).otherwise(full)
+    full = lambda r: bound(dirname(package), lambda base: F.when(base == "", r).otherwise(normal(F.concat(base, F.lit("/"), r))))
+    return bound(href(ref), lambda r: F.when(r == "", "").when(r.startswith("/"), F.ltrim(r, F.lit("/"))).otherwise(full(r)))
 
 
 def relative(package: Column | str, dest: Column | str) -> Column:
     """The reference to an archive path from a package document."""
     base = F.filter(F.split(dirname(package), "/"), lambda x: x != "")
     to = F.filter(F.split(normal(slashes(dest)), "/"), lambda x: x != "")
-    place = F.sequence(F.lit(0), F.least(F.size(base), F.size(to)))
-    same = F.array_max(F.filter(place, lambda i: F.slice(base, F.lit(1), i) == F.slice(to, F.lit(1), i)))
-    ups = F.array_repeat(F.lit(".."), F.size(base) - same)
-    return F.array_join(F.concat(ups, F.slice(to, same + 1, F.greatest(F.size(to) - same, F.lit(0)))), "/")
+
+    def of(x: Column) -> Column:
+        base, to = x["base"], x["to"]
+        apart = F.array_position(F.zip_with(base, to, lambda a, b: a.eqNullSafe(b)), F.lit(False))
+
+        def joined(same: Column) -> Column:
+            ups = F.array_repeat(F.lit(".."), F.size(base) - same)
+            return F.array_join(F.concat(ups, F.slice(to, same + 1, F.greatest(F.size(to) - same, F.lit(0)))), "/")
+
+        return bound(bound(apart, lambda k: F.when(k == 0, F.size(base)).otherwise(k - 1)).cast("int"), joined)
+
+    return bound(F.struct(base.alias("base"), to.alias("to")), of)
 
 
 def likely_package(first: Column | str) -> Column:

@@ -520,7 +520,9 @@ def path_forms(spark: SparkSession, sf: str) -> DataFrame:
     dest = F.concat(F.lit("OEBPS/"), base)
     detour = F.concat(F.lit(" ./x/..//"), F.replace(base, F.lit("/"), F.lit("\\")), F.lit("#part"))
     package = F.when(F.col("p_partkey") % 3 == 0, "OEBPS/pkg/content.opf").when(F.col("p_partkey") % 3 == 1, "OEBPS/content.opf").otherwise("A/B/content.opf")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), paths.resolve(F.lit("OEBPS/content.opf"), detour).alias("resolved"), paths.href(detour).alias("href"), paths.relative(package, dest).alias("relative"), paths.likely_package(dest).alias("package"), paths.item_id(dest).alias("item"))
+    # a small file has few row groups, and its folds would keep one core busy
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    return parts.select(F.col("p_partkey").alias("id"), paths.resolve(F.lit("OEBPS/content.opf"), detour).alias("resolved"), paths.href(detour).alias("href"), paths.relative(package, dest).alias("relative"), paths.likely_package(dest).alias("package"), paths.item_id(dest).alias("item"))
 
 
 @query("SELECT l_orderkey AS book, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1) AS place, 'Text/p' || l_partkey || '-' || l_suppkey || '.xhtml' AS href FROM lineitem")

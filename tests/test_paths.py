@@ -42,3 +42,9 @@ def test_small_functions(spark):
     assert one(spark, paths.item_id("p"), p="a/b c.html") == "bt-a-b-c.html"
     assert one(spark, paths.common_suffix(F.col("a"), F.col("b")), a="x/Text/a.html", b="y/Text/a.html") == len("/Text/a.html")
     assert one(spark, paths.href("p"), p=" a/../b.html#frag ") == "b.html"
+
+
+def test_each_path_is_folded_once(spark):
+    df = spark.createDataFrame([("OEBPS/c.opf", "x/../a.html")], "a string, b string")
+    folds = lambda e: df.select(e.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    assert (folds(paths.normal("b")), folds(paths.resolve("a", "b")), folds(paths.relative("a", "b"))) == (1, 2, 1)
