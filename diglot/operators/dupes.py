@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import repeat
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +57,39 @@ def equal_runs(blocks: DataFrame, file: str, order: str, text: str) -> DataFrame
 
 
 def surplus(blocks: DataFrame, file: str, order: str, text: str, tag: str | None = None) -> DataFrame:
-    """file, order of the blocks that the run fold drops. A file is one group; its blocks are what one document holds."""
+    """file, order of the blocks that the run fold drops. A file is one group; its blocks are what one document holds.
+
+    Files come one after the other in sorted rows: a call and a frame for each of many small ones would take longer than the fold.
+    """
     kind = {c: blocks.schema[c].dataType.simpleString() for c in (file, order)}
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable").reset_index(drop=True)
-        texts = [plain.squeeze(t or "") for t in frame[text]]
+    def gone(rows: list[tuple]) -> Iterator[tuple]:
+        texts = [plain.squeeze(t or "") for _, t, _ in rows]
         use = [k for k, t in enumerate(texts) if len(t) >= 2]
-        gone = plain.surplus([texts[k] for k in use], [tag is not None and frame[tag][k] in ("td", "th") for k in use])
-        return frame.loc[[use[k] for k in gone], [file, order]]
-
-    return blocks.select(file, order, text, *([tag] if tag else [])).groupBy(file).applyInPandas(run, f"`{file}` {kind[file]}, `{order}` {kind[order]}")
+        return (rows[use[k]][0] for k in plain.surplus([texts[k] for k in use], [rows[k][2] in ("td", "th") for k in use]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            files, orders, texts, *tags = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for f, *row in zip(files, orders, texts, *(tags or [repeat(None, len(files))]), strict=True):
+                if f != at:
+                    out += [(at, o) for o in gone(rows)]
+                    at, rows = f, []
+                rows.append(row)
+            fields = [batch.schema.field(0), batch.schema.field(1)]
+            yield _batch(out, fields)
+        if rows:
+            yield _batch([(at, o) for o in gone(rows)], fields)
+
+    some = blocks.select(file, order, text, *([tag] if tag else [])).repartition(file)
+    return some.sortWithinPartitions(F.asc(file), F.asc_nulls_last(order)).mapInArrow(run, f"`{file}` {kind[file]}, `{order}` {kind[order]}")
+
+
+def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
 
 def removed_by_file(docs: DataFrame, html: str) -> DataFrame:
