@@ -14,19 +14,24 @@ from diglot.functions import text as tx
 
 
 def shape(text: Column) -> Column:
-    """What `like` compares of a text, once for each row."""
-    parts = dict(text=text, key=tx.duplicate_key(text), core=tx.core(text), citation=tx.citation(text), figure=tx.figure(text), chinese=tx.chinese(text), han=tx.han(text))
+    """What `like` compares of every text, once for each row."""
+    parts = dict(text=text, key=tx.duplicate_key(text), chinese=tx.chinese(text), han=tx.han(text))
     return F.struct(*[c.alias(k) for k, c in parts.items()])
 
 
 def like(x: Column, y: Column) -> Column:
-    """Whether two shapes are of copies, or of an original and its translation."""
+    """Whether two shapes are of copies, or of an original and its translation.
+
+    What only texts of two languages are compared by is worked out for those.
+    """
     kx, ky = x["key"], y["key"]
     same = (x["text"] == y["text"]) | ((kx != "") & (kx == ky))
     short = F.least(F.length(kx), F.length(ky))
-    marks = F.coalesce(x["citation"] == y["citation"], F.lit(False)) | F.coalesce(x["figure"] == y["figure"], F.lit(False))
+    equal = lambda f: F.coalesce(f(x["text"]) == f(y["text"]), F.lit(False))
+    marks = equal(tx.citation) | equal(tx.figure)
+    cores = tx.bound(tx.core(x["text"]), lambda core: (F.length(core) >= 8) & (core == tx.core(y["text"])))
     begins = (short >= 18) & (F.left(kx, F.lit(18)) == F.left(ky, F.lit(18)))
-    fuzzy = marks | ((F.length(x["core"]) >= 8) & (x["core"] == y["core"])) | begins | ((short >= 16) & (kx.contains(ky) | ky.contains(kx)))
+    fuzzy = begins | ((short >= 16) & (kx.contains(ky) | ky.contains(kx))) | marks | cores
     return (x["text"] != "") & (y["text"] != "") & (same | ((x["chinese"] != y["chinese"]) & fuzzy))
 
 
