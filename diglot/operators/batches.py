@@ -40,16 +40,20 @@ def batch_starts(costs: Column, most_items: Column, most_tokens: Column) -> Colu
     return F.aggregate(costs, seed, step)["out"]
 
 
-def pack(blocks: DataFrame, file: str, order: str, text: str, name: str | None = None) -> DataFrame:
-    """blocks with their batch within the file. Only costs and order are gathered, one array a file."""
+def places(blocks: DataFrame, file: str, order: str, text: str, name: str | None = None) -> DataFrame:
+    """file, order, batch of each block. Only costs and order are gathered, one array a file."""
     items, most = limits(name or F.lit("")) if name else (F.lit(ITEMS), F.lit(TOKENS))
     keys = [file, *([name] if name and name != file else [])]
     grouped = blocks.select(*keys, F.struct(F.col(order).alias("o"), tx.tokens(text).alias("c")).alias("s")).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
     begun = grouped.select(file, "s", batch_starts(F.transform("s", lambda x: x["c"]), items, most).alias("b"))
     batch = begun.select(file, "s", "b", F.posexplode("b").alias("batch", "start"))
     end = F.coalesce(F.get("b", F.col("batch") + 1), F.size("s"))
-    each = batch.select(file, "batch", F.explode(F.slice("s", F.col("start") + 1, end - F.col("start"))).alias("x")).select(file, F.col("x.o").alias(order), "batch")
-    return blocks.join(each, [file, order])
+    return batch.select(file, "batch", F.explode(F.slice("s", F.col("start") + 1, end - F.col("start"))).alias("x")).select(file, F.col("x.o").alias(order), "batch")
+
+
+def pack(blocks: DataFrame, file: str, order: str, text: str, name: str | None = None) -> DataFrame:
+    """blocks with their batch within the file."""
+    return blocks.join(places(blocks, file, order, text, name), [file, order])
 
 
 def context(source: str, target: str, most: int = CONTEXT) -> Column:

@@ -194,7 +194,7 @@ def decode_bytes(spark: SparkSession, sf: str) -> DataFrame:
   SELECT doc_id, pos, batch::BIGINT AS batch FROM packed""")
 def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
     todo = blocks(spark, sf).where(~F.col("skipped")).select("doc_id", F.col("pos").cast("long").alias("pos"), "n")
-    return bt.pack(todo, "doc_id", "pos", "n").select("doc_id", "pos", F.col("batch").cast("long").alias("batch"))
+    return bt.places(todo, "doc_id", "pos", "n").select("doc_id", "pos", F.col("batch").cast("long").alias("batch"))
 
 
 S_PROMPT = "'下列共 ' || count(*) || ' 段英文，请译为简体中文，格式如下：' || chr(10) || '1. 译文' || chr(10) || '2. 译文' || chr(10) || '每段一条，按编号输出，不加说明。' || chr(10) || chr(10)"
