@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diglot.functions.text import bound
+
 TERM = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("target", T.StringType()), T.StructField("aliases", T.ArrayType(T.StringType()))])
 HEAD = "【术语】以下词语一律采用所给译法："
 FOOT = "形如 @@BTn@@ 的标记请照抄。"
@@ -19,9 +21,12 @@ def variants(source: Column, aliases: Column) -> Column:
 
 
 def pattern(v: Column) -> Column:
-    """A spelling as a regular expression; letters and digits at both ends need a boundary."""
+    """A spelling as a regular expression; letters and digits at both ends need a boundary.
+
+    The literal stands first, and what is before it is looked at where it was found, not at each character.
+    """
     literal = F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.when(v.rlike("^[A-Za-z0-9]") & v.rlike("[A-Za-z0-9]$"), F.concat(F.lit("(?<![A-Za-z0-9])"), literal, F.lit("(?![A-Za-z0-9])"))).otherwise(literal)
+    return F.when(v.rlike("^[A-Za-z0-9]") & v.rlike("[A-Za-z0-9]$"), F.concat(literal, F.lit("(?<![A-Za-z0-9]"), literal, F.lit(")(?![A-Za-z0-9])"))).otherwise(literal)
 
 
 def compiled(terms: DataFrame) -> DataFrame:
@@ -76,14 +81,18 @@ def quoted(c: Column) -> Column:
 
 
 def protect(text: Column, terms: Column, start: int = 0) -> Column:
-    """struct<text, map: array<struct<ph,target>>>: for each term its longest spelling found is a placeholder everywhere."""
+    """struct<text, map: array<struct<ph,target>>>: for each term its longest spelling found is a placeholder everywhere.
+
+    A spelling that the text doesn't contain needs no regular expression, which each text would compile anew.
+    """
     seed = F.struct(text.alias("text"), F.array().cast("array<struct<ph:string,target:string>>").alias("map"))
 
     def step(acc: Column, term: Column) -> Column:
-        hit = F.filter(term["patterns"], lambda p: F.regexp_like(acc["text"], p))
+        there = lambda i: F.coalesce(acc["text"].contains(F.get(term["variants"], i)), F.lit(True))
+        hit = F.filter(term["patterns"], lambda p, i: there(i) & F.regexp_like(acc["text"], p))
         ph = F.concat(F.lit("@@BT"), (F.size(acc["map"]) + start).cast("string"), F.lit("@@"))
-        done = F.struct(F.regexp_replace(acc["text"], F.get(hit, F.lit(0)), ph).alias("text"), F.concat(acc["map"], F.array(F.struct(ph.alias("ph"), term["target"].alias("target")))).alias("map"))
-        return F.when(F.size(hit) > 0, done).otherwise(acc)
+        done = lambda p: F.struct(F.regexp_replace(acc["text"], p, ph).alias("text"), F.concat(acc["map"], F.array(F.struct(ph.alias("ph"), term["target"].alias("target")))).alias("map"))
+        return bound(F.get(hit, F.lit(0)), lambda p: F.when(p.isNotNull(), done(p)).otherwise(acc))
 
     return F.aggregate(terms, seed, step)
 

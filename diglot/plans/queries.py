@@ -371,11 +371,11 @@ def glossary_hint(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, pos, sha1(line) AS restored, true AS safe FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)")
 def glossary_protect_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Terms without aliases become placeholders and come back as themselves; no term is left while they are out."""
-    some = [(i, s, s, [s], ["(?<!" + EDGE + ")\\Q" + s + "\\E(?!" + EDGE + ")"]) for i, (s, a) in enumerate(TERMS) if not a]
+    some = [(i, s, s, [s], ["\\Q" + s + "\\E(?<!" + EDGE + "\\Q" + s + "\\E)(?!" + EDGE + ")"]) for i, (s, a) in enumerate(TERMS) if not a]
     given = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("target"), F.array(*map(F.lit, v)).alias("variants"), F.array(*map(F.lit, p)).alias("patterns")) for i, s, t, v, p in some])
-    ordered = gl.ordered(given)
-    safe = lines(spark, sf).select("doc_id", F.col("pos").cast("long").alias("pos"), gl.protect(F.col("line"), ordered).alias("p"))
-    left = F.exists(ordered, lambda t: F.regexp_like(F.col("p.text"), F.get(t["patterns"], F.lit(0))))
+    ordered = spark.range(1).select(gl.ordered(given).alias("terms"))  # sorted once, not for each line
+    safe = lines(spark, sf).crossJoin(F.broadcast(ordered)).select("doc_id", F.col("pos").cast("long").alias("pos"), "terms", gl.protect(F.col("line"), F.col("terms")).alias("p"))
+    left = F.exists("terms", lambda t: F.col("p.text").contains(F.get(t["variants"], F.lit(0))) & F.regexp_like(F.col("p.text"), F.get(t["patterns"], F.lit(0))))
     return safe.select("doc_id", "pos", F.sha1(gl.restore(F.col("p.text"), F.col("p.map"))).alias("restored"), (~left).alias("safe"))
 
 

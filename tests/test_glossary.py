@@ -73,3 +73,10 @@ def test_a_large_glossary(spark):
     many = spark.createDataFrame([(i, f"term{i}x", f"词{i}", [f"alias{i}x"]) for i in range(600)], gl.TERM)
     texts = spark.createDataFrame([("a", "here is term7x and alias599x but not term60")], "g string, text string")
     assert sorted(r.ord for r in gl.appearing(texts, many, "g").collect()) == [7, 599]
+
+
+def test_spellings_that_are_not_there_need_no_expression(spark):
+    df = spark.createDataFrame([("an alpha, alphabet",)], "t string")
+    term = lambda v, p: F.struct(F.lit(0).alias("ord"), F.lit("甲").alias("target"), F.array(F.lit(v)).alias("variants"), F.array(p).alias("patterns"))
+    given = F.array(term("zeta", F.lit("(")), term("alpha", gl.pattern(F.lit("alpha"))))
+    assert df.select(gl.protect(F.col("t"), given)["text"].alias("x")).first().x == "an @@BT0@@, alphabet"
