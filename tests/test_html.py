@@ -118,3 +118,17 @@ def test_trees_agree_with_a_plain_recursion():
         after = ht.successors(root)
         assert all(after.get(id(x)) is x.following() for x in every)
         assert all(x.depth == sum(1 for _ in x.up()) and x.unseen == any(y.name in ht.UNSEEN for y in (x, *x.up())) for x in every)
+
+
+def test_trees_are_freed_at_once():
+    import gc
+
+    page = "<body><div><p>Some English text</p><p>一些中文内容</p><p>一些中文内容</p></div></body>"
+    gc.collect()
+    gc.disable()
+    try:
+        for f in (ht._records, ht.collapse, ht.without_source, lambda h: ht.insert(h, {0: "新的内容"})):
+            f(page)
+        assert not any(isinstance(x, ht.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
