@@ -251,3 +251,49 @@ def test_no_key_is_an_error(monkeypatch, capsys):
 
     monkeypatch.delenv("DIGLOT_API_KEY", raising=False)
     assert main(["a", "b"]) == 1 and "DIGLOT_API_KEY" in capsys.readouterr().err
+
+
+def test_archives_keep_no_directory_in_memory(tmp_path):
+    """Many members, among them repeated and far ones; the standard module reads the same."""
+    import tracemalloc
+
+    at, n = str(tmp_path / "b.epub"), 70_000
+    out = epub.NewArchive(at)
+    out.add("mimetype", b"application/epub+zip", True)
+    out.add("é/中.html", "内容".encode(), False)
+    tracemalloc.start()
+    for k in range(n):
+        out.add(f"t/{k}.html", b"x" * (k % 50), False)
+    out.add("t/7.html", b"again", False)
+    out.close()
+    read = epub.Reader({"path": at})
+    batches, rows, seven = 0, 0, []
+    for b in read.read(epub.Book(at)):
+        batches, rows = batches + 1, rows + b.num_rows
+        seven += [r for r in b.to_pylist() if r["path"] == "t/7.html"]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n + 2 and batches > 3 and [(r["ord"], r["content"]) for r in seven] == [(n + 2, b"again")] and most < 16e6
+    with zipfile.ZipFile(at) as z:
+        assert len(z.namelist()) == n + 3 and z.read("é/中.html").decode() == "内容" and z.read("t/7.html") == b"again" and z.testzip() is None
+        assert z.infolist()[0].compress_type == zipfile.ZIP_STORED
+
+
+def test_archives_of_others_are_read(tmp_path):
+    at = str(tmp_path / "o.epub")
+    with open(at, "wb") as f:
+        f.write(b"before the archive")
+    with zipfile.ZipFile(at, "a", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.html", "one")
+        z.comment = b"note"
+    with epub.Archive(at) as z:
+        assert [(x.filename, z.read(x)) for x in z.directory()] == [("a.html", b"one")]
+
+
+def test_a_session_gets_small_batches(spark):
+    from diglot.shipping import BATCH, ship
+
+    key, _, smaller = BATCH
+    spark.conf.unset(key)
+    ship(spark)
+    assert spark.conf.get(key) in (smaller, "8388608b")
